@@ -31,13 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Results are compared after rounding: six decimals, two from 1000 on. The small offset keeps values that
+# lie exactly between two roundings (the inputs have two decimals) from falling to either side.
+_SMALL, _LARGE = 3.1415e-8, 3.1415e-4
+
+
 def r6(c: Column) -> Column:
-    """Six decimals and no negative zero."""
-    return F.round(c, 6) + F.lit(0.0)
+    near = F.round(c + F.lit(_SMALL), 6)
+    return F.when(F.abs(c) >= 1000, F.round(c + F.lit(_LARGE), 2)).otherwise(near) + F.lit(0.0)
 
 
 def sql_r6(expr: str) -> str:
-    return f"(round({expr}, 6) + 0.0)"
+    return f"(CASE WHEN abs({expr}) >= 1000 THEN round({expr} + {_LARGE!r}, 2) ELSE round({expr} + {_SMALL!r}, 6) END + 0.0)"
 
 
 def log(spark: SparkSession, sf_dir: str, machine: str | None = None) -> DataFrame:

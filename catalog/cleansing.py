@@ -122,8 +122,8 @@ def _interpolated_sql(x: str) -> str:
         parts.append(f"last_value({t} IGNORE NULLS) {look[0]} AS {t}_a, last_value(CASE WHEN {t} IS NOT NULL THEN x END IGNORE NULLS) {look[0]} AS {t}_xa, "
                      f"first_value({t} IGNORE NULLS) {look[1]} AS {t}_b, first_value(CASE WHEN {t} IS NOT NULL THEN x END IGNORE NULLS) {look[1]} AS {t}_xb")
     shown = ", ".join(
-        f"CASE WHEN {t} IS NOT NULL THEN round({t}, 6) + 0.0 WHEN {t}_b IS NULL THEN round({t}_a, 6) + 0.0 "
-        f"ELSE round({t}_a + ({t}_b - {t}_a) * (x - {t}_xa) / ({t}_xb - {t}_xa), 6) + 0.0 END AS {t}" for t in ("error", "view"))
+        f"CASE WHEN {t} IS NOT NULL THEN {sql_r6(t)} WHEN {t}_b IS NULL THEN {sql_r6(t + '_a')} "
+        f"ELSE {sql_r6(f'{t}_a + ({t}_b - {t}_a) * (x - {t}_xa) / ({t}_xb - {t}_xa)')} END AS {t}" for t in ("error", "view"))
     return f"""WITH {WIDE_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS p FROM wide), nx AS (SELECT *, CAST({x} AS DOUBLE) AS x FROM n),
 l AS (SELECT *, {", ".join(parts)} FROM nx) SELECT event_id, {shown} FROM l"""
 

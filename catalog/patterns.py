@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from catalog.base import LOG_SQL, PLANT, log, query, r6, table
+from catalog.base import LOG_SQL, PLANT, log, query, r6, sql_r6, table
 from faultline.operators import patterns
 from faultline.params import OK_CODE, MiningParams
 from faultline.session import settle
@@ -90,15 +90,15 @@ def error_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(spark, sf_dir).select("error_code", "run_start", "n_rows", _joined("items").alias("items"))
 
 
-@query(f"WITH RECURSIVE {LOG_SQL}, {_RUNS}, {_SPACED}, {_ITEMSETS}, {_FREQUENT} SELECT error_code, n_windows, {_TEXT.format('itemset')} AS itemset, support, round(support / n_windows, 6) + 0.0 AS support_rel FROM f")
+@query(f"WITH RECURSIVE {LOG_SQL}, {_RUNS}, {_SPACED}, {_ITEMSETS}, {_FREQUENT} SELECT error_code, n_windows, {_TEXT.format('itemset')} AS itemset, support, {sql_r6('support / n_windows')} AS support_rel FROM f")
 def frequent_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = patterns.frequent_itemsets(_windows(spark, sf_dir), SUPPORT)
     return found.select("error_code", "n_windows", _joined("itemset").alias("itemset"), "support", r6(F.col("support_rel")).alias("support_rel"))
 
 
 @query(f"""WITH RECURSIVE {LOG_SQL}, {_RUNS}, {_SPACED}, {_ITEMSETS}, {_FREQUENT}
-SELECT s.error_code, {_TEXT.format('a.itemset')} AS antecedent, {_TEXT.format('list_sort(list_filter(s.itemset, x -> NOT list_contains(a.itemset, x)))')} AS consequent,
-  round(s.support / a.support, 6) + 0.0 AS confidence
+SELECT s.error_code, {_TEXT.format('a.itemset')} AS antecedent, {_TEXT.format('list_sort(list_filter(s.itemset, lambda x: NOT list_contains(a.itemset, x)))')} AS consequent,
+  {sql_r6('s.support / a.support')} AS confidence
 FROM f s JOIN f a ON a.error_code = s.error_code AND len(a.itemset) < len(s.itemset) AND list_has_all(s.itemset, a.itemset)
 WHERE s.support / a.support >= {CONFIDENCE}""")
 def association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
