@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from catalog.base import LOG_SQL, PLANT, TARGET, log, query, r6, sql_r6
+from catalog.base import LOG_SQL, PLANT, TARGET, TYPES, log, query, r6, sql_r6
 from catalog.labels import HOUR, SEED, draw_sql, kept_sql, negatives, negatives_sql, positives
 from faultline.operators import catalogue, features, labels, windows
 from faultline.operators.features import MINIMAL
@@ -85,6 +85,18 @@ def _horizon_sql(h: Horizon) -> str:
             f"JOIN events e ON epoch_us(e.ts) BETWEEN k.us - {h.reach}000000 AND k.us - {h.pw}000000")
 
 
+@query(f"""{_START}, {pairs_sql()}, t AS (SELECT DISTINCT event_type AS series FROM events), d AS (SELECT p.example_ts, t.series, CAST(p.series = t.series AS INT) AS value FROM pairs p, t)
+SELECT example_ts, series, {_MINIMAL_LIST} FROM d GROUP BY 1, 2""")
+def category_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-hot series without ever writing their zeros: features from row counts."""
+    bounded = windows.with_windows(positives(spark, sf_dir).select("machine_id", "ts"), HOUR)
+    present = log(spark, sf_dir, PLANT).select("machine_id", "ts", F.col("event_type").alias("series"))
+    rows = windows.samples_used(present, bounded, HOUR.rw).select("example_ts", F.col("samples_used").alias("n"))
+    every = rows.withColumn("series", F.explode(F.array(*[F.lit(t) for t in TYPES])))
+    ones = windows.window_samples(present, bounded, HOUR.rw).groupBy(*EXAMPLE).agg(F.count(F.lit(1)).alias("ones"))
+    return rounded(features.indicator_features(every.join(ones, EXAMPLE, "left")))
+
+
 _HORIZONS = (Horizon(3600, 3600), Horizon(1800, 7200), Horizon(7200, 14400))
 
 

@@ -121,10 +121,10 @@ def svm_sigmoid(train: DataFrame, target: int, seed: int = 0) -> Fitted:
 
 
 def easy_ensemble(train: DataFrame, target: int, seed: int = 0, bags: int = 10, rounds: int = 10) -> Fitted:
-    """K7, approximation: gradient-boosted trees instead of AdaBoost on differently drawn balanced
+    """K7, approximation: gradient-boosted stumps instead of AdaBoost on differently drawn balanced
     bags; the mean probability decides."""
     models = [
-        GBTClassifier(featuresCol="__v", labelCol="__y", maxIter=rounds, maxDepth=3, seed=seed + b)
+        GBTClassifier(featuresCol="__v", labelCol="__y", maxIter=rounds, maxDepth=1, seed=seed + b)
         .fit(_binary(balance_classes(train, seed + b, ["id"]), target))
         for b in range(bags)
     ]

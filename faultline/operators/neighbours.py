@@ -34,11 +34,13 @@ def nearest(
     """
     n_q, n_p = _blocks(queries.count()), _blocks(points.count())
 
-    def placed(df: DataFrame, n: int, own: str) -> DataFrame:
-        return df.withColumn(own, F.floor(uniform(seed, F.col(id_col)) * n).cast("int"))
+    def blocks(df: DataFrame, n: int, prefix: str, columns: Sequence[str]) -> DataFrame:
+        """Fresh column names on both sides: they may stem from the same frame."""
+        own = F.floor(uniform(seed, F.col(id_col)) * n).cast("int")
+        return df.select(own.alias(f"{prefix}_block"), *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
 
-    q = placed(queries.select(id_col, vector), n_q, "qb").withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))))
-    p = placed(points.select(id_col, vector, *carry), n_p, "pb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    q = blocks(queries, n_q, "q", [id_col, vector]).withColumn("with_block", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))))
+    p = blocks(points, n_p, "p", list(dict.fromkeys([id_col, vector, *carry]))).withColumn("with_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     id_type = queries.schema[id_col].dataType
     schema = T.StructType([
         T.StructField("query_id", id_type), T.StructField("point_id", id_type), T.StructField("distance", T.DoubleType()),
@@ -48,24 +50,24 @@ def nearest(
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({f.name: [] for f in schema.fields})
-        right = right.sort_values(id_col)
-        a, b = np.stack(left[vector].to_numpy()), np.stack(right[vector].to_numpy())
-        ids = right[id_col].to_numpy()
+        right = right.sort_values(f"p_{id_col}")
+        a, b = np.stack(left[f"q_{vector}"].to_numpy()), np.stack(right[f"p_{vector}"].to_numpy())
+        ids = right[f"p_{id_col}"].to_numpy()
         found = []
         step = max(1, 4_000_000 // b.size)  # keeps the difference array small
         for start in range(0, len(a), step):
             part = a[start:start + step]
             dist = ((part[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
-            own = left[id_col].to_numpy()[start:start + step]
+            own = left[f"q_{id_col}"].to_numpy()[start:start + step]
             dist[own[:, None] == ids[None, :]] = np.inf
             order = np.argsort(dist, axis=1, kind="stable")[:, :k]
             rows, places = np.repeat(np.arange(len(part)), order.shape[1]), order.ravel()
-            chunk = right.iloc[places][[id_col, *carry]].rename(columns={id_col: "point_id"})
+            chunk = right.iloc[places].rename(columns={f"p_{id_col}": "point_id", **{f"p_{c}": c for c in carry}})[["point_id", *carry]]
             chunk.insert(0, "query_id", own[rows])
             chunk.insert(2, "distance", np.sqrt(dist[rows, places]))
             found.append(chunk[np.isfinite(chunk["distance"])])
         return pd.concat(found)[schema.names]
 
-    candidates = q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(best, schema)
+    candidates = q.groupBy("q_block", "with_block").cogroup(p.groupBy("with_block", "p_block")).applyInPandas(best, schema)
     order = Window.partitionBy("query_id").orderBy("distance", "point_id")
     return candidates.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
