@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from faultline.functions.names import col, is_error_code, numeric_columns, pick
+from faultline.functions.stats import pearson
 
 UNAVAILABLE = "UNAVAILABLE"
 _PAIRS_PER_PASS = 400
@@ -115,7 +116,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> dict[tu
     found: dict[tuple[str, str], float | None] = {}
     for at in range(0, len(pairs), _PAIRS_PER_PASS):
         part = pairs[at:at + _PAIRS_PER_PASS]
-        row = df.agg(*[F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(part)]).first()
+        row = df.agg(*[pearson(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)]).first()
         found.update({p: row[f"r{i}"] for i, p in enumerate(part)})
     return found
 

@@ -126,7 +126,7 @@ def component_items(records: DataFrame, record: str = "record", keep: Sequence[s
     rows = parts.select(*pick(keep), "machine_id", component["id"].alias("component_id"), F.explode(every).alias("item"))
     return rows.filter(F.col("item.item_id").isNotNull()).select(
         *pick(keep), "machine_id", "component_id", "item.category", "item.item_id",
-        from_epoch_ms(F.col("item.ms")).alias("ts"), F.col("item.sequence").cast("double").alias("seq"),
+        from_epoch_ms(F.col("item.ms")).alias("ts"), F.col("item.sequence").try_cast("double").alias("seq"),
         "item.num_value", "item.str_value", "item.name", "item.message", "item.status",
     )
 
