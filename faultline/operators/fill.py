@@ -37,6 +37,47 @@ def replace_extreme(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.nullif(col(c), F.lit(EXTREME_MARKER)) for c in columns})
 
 
+def _fill(
+    df: DataFrame, pad: Sequence[str], line: Sequence[str], method: str, keys: Sequence[str], ts: str,
+    tie: Sequence[str], limit: int | None, slot_seconds: float,
+) -> DataFrame:
+    """Pad some columns and interpolate others with one scan over the rows."""
+    if not pad and not line:
+        return df
+    numbered = limit is not None or (bool(line) and method == "linear")
+    place = F.col("__pos") if numbered else F.lit(0)
+    at = (F.col("__pos") if method == "linear" else epoch_us(col(ts))).cast("double")
+
+    def known(c: str) -> Column:
+        if c in pad and not numbered:
+            return col(c)
+        value = col(c).cast("double") if c in line else col(c)
+        x = [at.alias("x")] if c in line else []
+        return F.when(col(c).isNotNull(), F.struct(place.alias("p"), *x, value.alias("v")))
+
+    columns = [*pad, *line]
+    looked = scan(
+        df, keys, ts, tie,
+        last={f"__a{i}": known(c) for i, c in enumerate(columns)},
+        next={f"__b{i}": known(c) for i, c in enumerate(columns) if c in line},
+        position="__pos" if numbered else None, slot_seconds=slot_seconds,
+    )
+
+    def filled(i: int, c: str) -> Column:
+        a = F.col(f"__a{i}")
+        if c in pad and not numbered:
+            return a
+        value = a["v"]
+        if c in line:
+            b = F.col(f"__b{i}")
+            inner = a["v"] + (b["v"] - a["v"]) * (at - a["x"]) / (b["x"] - a["x"])
+            value = F.when(col(c).isNotNull() | b.isNull(), a["v"]).when(a.isNotNull(), inner)
+        return value if limit is None else F.when(F.col("__pos") - a["p"] <= limit, value)
+
+    done = {c: filled(i, c) for i, c in enumerate(columns)}
+    return looked.select(*[done[c].alias(c) if c in done else col(c) for c in df.columns])
+
+
 def forward_fill(
     df: DataFrame,
     columns: Sequence[str],
@@ -47,18 +88,7 @@ def forward_fill(
     slot_seconds: float = SLOT_SECONDS,
 ) -> DataFrame:
     """Last known value; with ``limit``, at most that many rows after it."""
-    if not columns:
-        return df
-    if limit is None:
-        filled = scan(df, keys, ts, tie, last={c: col(c) for c in columns}, slot_seconds=slot_seconds)
-        return filled.select(*pick(df.columns))
-    seen = {f"__seen{i}": F.when(col(c).isNotNull(), F.struct(F.col("__pos").alias("p"), col(c).alias("v")))
-            for i, c in enumerate(columns)}
-    held = scan(df, keys, ts, tie, last=seen, position="__pos", slot_seconds=slot_seconds)
-    near = {
-        c: F.when(F.col("__pos") - F.col(f"__seen{i}.p") <= limit, F.col(f"__seen{i}.v")) for i, c in enumerate(columns)
-    }
-    return held.select(*[near[c].alias(c) if c in near else col(c) for c in df.columns])
+    return _fill(df, columns, (), "pad", keys, ts, tie, limit, slot_seconds)
 
 
 def interpolate(
@@ -78,33 +108,7 @@ def interpolate(
     """
     if method not in ("linear", "time"):
         raise ValueError(f"{method!r} is not an interpolation method")
-    if not columns:
-        return df
-    at = F.col("__pos") if method == "linear" else epoch_us(col(ts))
-    point = {
-        i: F.when(
-            col(c).isNotNull(),
-            F.struct(F.col("__pos").alias("p"), at.cast("double").alias("x"), col(c).cast("double").alias("v")),
-        )
-        for i, c in enumerate(columns)
-    }
-    looked = scan(
-        df, keys, ts, tie,
-        last={f"__a{i}": p for i, p in point.items()},
-        next={f"__b{i}": p for i, p in point.items()},
-        position="__pos", slot_seconds=slot_seconds,
-    )
-
-    def value(i: int, c: str) -> Column:
-        a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
-        between = a["v"] + (b["v"] - a["v"]) * (at - a["x"]) / (b["x"] - a["x"])
-        filled = F.when(a.isNull(), None).when(b.isNull(), a["v"]).otherwise(between)
-        if limit is not None:
-            filled = F.when(F.col("__pos") - a["p"] <= limit, filled)
-        return F.coalesce(col(c).cast("double"), filled)
-
-    index = {c: i for i, c in enumerate(columns)}
-    return looked.select(*[value(index[c], c).alias(c) if c in index else col(c) for c in df.columns])
+    return _fill(df, (), columns, method, keys, ts, tie, limit, slot_seconds)
 
 
 def check_methods(string_method: str, numeric_method: str) -> None:
@@ -131,10 +135,8 @@ def impute(
     if extreme_to_null:
         doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType) and f.name not in keys]
         df = replace_extreme(df, doubles)
-    if numeric_method == "pad":
-        return forward_fill(df, [*numeric, *padded], keys, ts, (), limit, slot_seconds)
-    df = interpolate(df, numeric, numeric_method, keys, ts, (), limit, slot_seconds)
-    return forward_fill(df, padded, keys, ts, (), limit, slot_seconds)
+    pad, line = ([*numeric, *padded], []) if numeric_method == "pad" else (padded, numeric)
+    return _fill(df, pad, line, numeric_method, keys, ts, (), limit, slot_seconds)
 
 
 def valid_ranges(

@@ -146,7 +146,7 @@ def negative_candidates(
     errors and candidates are never paired.
     """
     filled = scan(codes.select(*pick(keys), col(ts), col(code)), keys, ts, last={code: col(code)}, slot_seconds=slot_seconds)
-    candidates = filled.filter(col(code) != F.lit(target))
+    candidates = settle(filled.filter(col(code) != F.lit(target)), "candidates")
     errors = codes.filter(col(code) == F.lit(target)).select(*pick(keys), epoch_us(col(ts)).alias("__us"))
     return without_errors_in_window(candidates, errors, horizon, keys, ts, slot_seconds)
 

@@ -8,6 +8,9 @@ ordered operators here run in two levels instead:
    the length of the timeline divided by the slot width (87,600 one-hour slots in ten years),
    however many rows the slots hold;
 3. the summary is joined back on ``(keys, slot)``, the partitioning step 1 already has.
+
+Slots that hold too many rows are cut into 60 shorter ones, again and again until none is
+crowded, so a burst of records in one machine's hour does not end up in one task either.
 """
 
 from __future__ import annotations
@@ -17,10 +20,35 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.functions.names import col, pick
-from faultline.functions.times import bucket, epoch_us
+from faultline.functions.times import MICROS, epoch_us
+from faultline.session import settle
 
 SLOT_SECONDS = 3600
-_SLOT = "__slot"
+SLOT_ROWS = 2_000_000    # rows a slot may hold
+BROADCAST_SLOTS = 100_000  # crowded slots whose list may be broadcast (some 3 MB)
+_SLOT, _US = "__slot", "__us"
+
+
+def with_slots(
+    df: DataFrame, keys: Sequence[str], us: Column, slot_seconds: float = SLOT_SECONDS, slot_rows: int = SLOT_ROWS
+) -> DataFrame:
+    """Rows with the start of their time slot; slots are in time order and hold at most ``slot_rows``
+    rows, unless as many share one microsecond. Looking for crowded slots reads only keys and times."""
+    width = max(int(slot_seconds * MICROS), 1)
+    rows = df.withColumn(_US, us).withColumn(_SLOT, F.col(_US) - F.pmod(_US, F.lit(width)))
+    while width > 1:
+        crowded = settle(
+            rows.groupBy(*pick(keys), _SLOT).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > slot_rows)
+            .select(*pick(keys), _SLOT, F.lit(True).alias("__crowded")), "crowded-slots")
+        found = crowded.count()
+        if found == 0:
+            break
+        width = max(width // 60, 1)
+        part = F.col(_US) - F.col(_SLOT)
+        finer = F.when(F.col("__crowded"), F.col(_US) - F.pmod(part, F.lit(width))).otherwise(F.col(_SLOT))
+        marked = rows.join(F.broadcast(crowded) if found <= BROADCAST_SLOTS else crowded, [*keys, _SLOT], "left")
+        rows = marked.withColumn(_SLOT, finer).drop("__crowded")
+    return rows.drop(_US)
 
 
 def scan(
@@ -35,6 +63,7 @@ def scan(
     position: str | None = None,
     slot_seconds: float = SLOT_SECONDS,
     slot_us: Column | None = None,
+    slot_rows: int = SLOT_ROWS,
 ) -> DataFrame:
     """Add columns that look along the order ``(ts, *tie)`` inside ``keys``.
 
@@ -53,9 +82,8 @@ def scan(
     ]
     original = list(df.columns)
     order = [col(ts), *pick(tie)]
-    slot_of = slot_us if slot_us is not None else epoch_us(col(ts))
     cell = [*pick(keys), F.col(_SLOT)]
-    rows = df.withColumn(_SLOT, bucket(slot_of, slot_seconds))
+    rows = with_slots(df, keys, slot_us if slot_us is not None else epoch_us(col(ts)), slot_seconds, slot_rows)
     forward = Window.partitionBy(*cell).orderBy(*order)
     backward = Window.partitionBy(*cell).orderBy(*[o.desc() for o in order])
 
@@ -74,7 +102,7 @@ def scan(
         return rows.select(*pick(original))
 
     rows = rows.withColumns({f"__v{i}": expr for i, (_, expr, _, _) in enumerate(looks)})
-    held = F.struct(*order)
+    held = order[0] if len(order) == 1 else F.struct(*order)  # a single plain column keeps the aggregate hash-based
     summary = rows.groupBy(*cell).agg(
         *[
             (F.max_by if is_back else F.min_by)(f"__v{i}", F.when(F.col(f"__v{i}").isNotNull(), held)).alias(f"__c{i}")

@@ -56,11 +56,15 @@ def split_objects(df: DataFrame, text: str, out: str = "text") -> DataFrame:
 
 
 def parse_records(df: DataFrame, text: str = "text", schema: str = RECORD_SCHEMA) -> tuple[DataFrame, DataFrame]:
-    """S2 + S10: (records, quarantine). An object that does not parse does not stop the others."""
-    parsed = df.withColumn("record", F.from_json(col(text), f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT}))
+    """S2 + S10: (records, quarantine). An object that does not parse does not stop the others.
+
+    The parsed value passes through a one-element explode: the optimizer would otherwise copy the parser
+    into the filter and into every field access and parse each text many times.
+    """
+    value = F.from_json(col(text), f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})
+    parsed = df.select("*", F.explode(F.array(value)).alias("record"))
     bad = F.col(f"record.{CORRUPT}").isNotNull() | F.col("record").isNull()
-    good = parsed.filter(~bad).withColumn("record", F.col("record").dropFields(CORRUPT)).drop(text)
-    return good, parsed.filter(bad).select(*pick(df.columns))
+    return parsed.filter(~bad).drop(text), parsed.filter(bad).select(*pick(df.columns))
 
 
 def _leaves(value: Column, dtype: T.DataType, path: Column) -> Column:

@@ -138,6 +138,22 @@ def test_scan_equals_one_window(spark):
     assert got.select(columns).exceptAll(want.select(columns)).isEmpty() and got.count() == 550
 
 
+@pytest.mark.parametrize("slot_rows", [1, 7, 50])
+def test_crowded_slots_are_split(spark, slot_rows):
+    rng = random.Random(9)
+    # Two thirds of all rows lie within three seconds of one machine.
+    moments = sorted({rng.randint(0, 3_000_000) for _ in range(200)} | {rng.randint(0, 20_000) * 1_000_000 for _ in range(100)})
+    rows = [("hot", at(us / 1e6), float(i) if i % 4 == 0 else None) for i, us in enumerate(moments)] + [("m", at(i), None) for i in range(5)]
+    df = spark.createDataFrame(rows, "machine_id string, ts timestamp_ntz, v double")
+    slotted = ordered.with_slots(df, ["machine_id"], epoch_us(F.col("ts")), 3600, slot_rows)
+    assert max(r["count"] for r in slotted.groupBy("machine_id", "__slot").count().collect()) <= slot_rows
+    edges = slotted.groupBy("machine_id", "__slot").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).filter("machine_id = 'hot'").orderBy("__slot").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(edges, edges[1:]))
+    got = [r["f"] for r in ordered.scan(df, ["machine_id"], last={"f": F.col("v")}, slot_rows=slot_rows).filter("machine_id = 'hot'").orderBy("ts").collect()]
+    want = pd.Series([r[2] for r in rows if r[0] == "hot"], dtype=float).ffill()
+    np.testing.assert_allclose(got, want.to_numpy())
+
+
 def greedy(times, gap):
     kept = []
     for t in sorted(times):
