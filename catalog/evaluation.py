@@ -160,14 +160,29 @@ def ensemble_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.scores(every, ["member", "fold"], TARGET)
 
 
+# Methods that fill the rare class up to the size of the other one, and keep every original row.
+_FILLED = ("random", "smote", "smotenc", "svm_smote")
+_FILLED_SQL = f"""WITH {_ROWS} SELECT label, CAST(max(count(*)) OVER () AS BIGINT) AS n, count(*) AS original FROM rows GROUP BY label"""
+
+
 def _register_oversampling(method: str) -> None:
     def oversampled(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = settle(examples(spark, sf_dir), "train")
         done = settle(oversampling.oversample(rows, method, TARGET, SEED, categorical=[0, 1]), "oversampled")
         return done.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count("id").alias("original"))
     oversampled.__name__ = f"oversampled_{method}"
-    query()(oversampled)
+    query(_FILLED_SQL if method in _FILLED else None)(oversampled)
 
 
 for _name in oversampling.METHODS:
     _register_oversampling(_name)
+
+
+@query(_fold_sql(draw_sql(42, "id") + ", id").replace(
+    _ROWS, f"every AS ({_ROWS.removeprefix('rows AS (').removesuffix(')')}), ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {draw_sql(SEED, 'id')}, id) AS place FROM every), "
+    f"rows AS (SELECT id, label FROM ranked WHERE label = {TARGET} OR place <= (SELECT count(*) FROM every WHERE label = {TARGET}))").replace(
+    "SELECT r.id, r.label, CAST(b.fold AS INT) AS fold FROM", f"SELECT {SEED} AS seed, CAST(b.fold AS INT) AS fold, r.id, r.label FROM"))
+def validated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rows a cross-validation predicts in which fold."""
+    answers = evaluation.cross_validate(examples(spark, sf_dir), TARGET, "logistic", 0.5, SEED, FOLDS)
+    return answers.select("seed", "fold", "id", "label")

@@ -29,7 +29,8 @@ _ITEMSETS = f"""w AS (SELECT s.code AS error_code, s.run_start, count(*) AS n_ro
   GROUP BY s.code, s.run_start HAVING count(*) > {OBS})"""
 
 # All itemsets by joining items of a window in ascending order, level by level.
-_FREQUENT = f"""n AS (SELECT error_code, count(*) AS n_windows, CAST(ceil(count(*) * {SUPPORT}) AS BIGINT) AS need FROM w GROUP BY 1 HAVING count(*) >= 2),
+def _frequent_sql(support: float) -> str:
+    return f"""n AS (SELECT error_code, count(*) AS n_windows, CAST(ceil(count(*) * {support}) AS BIGINT) AS need FROM w GROUP BY 1 HAVING count(*) >= 2),
 it AS (SELECT w.error_code, w.run_start, CAST(unnest(items) AS BIGINT) AS item FROM w),
 lvl AS (SELECT error_code, run_start, [item] AS itemset FROM it
   UNION ALL SELECT l.error_code, l.run_start, list_append(l.itemset, i.item) FROM lvl l JOIN it i
@@ -37,6 +38,9 @@ lvl AS (SELECT error_code, run_start, [item] AS itemset FROM it
 f AS (SELECT l.error_code, n.n_windows, l.itemset, count(*) AS support, n.need FROM lvl l JOIN n ON n.error_code = l.error_code
   GROUP BY ALL HAVING count(*) >= n.need)"""
 
+
+_FREQUENT = _frequent_sql(SUPPORT)
+
 _TEXT = "array_to_string({}, ',')"
 
 
@@ -108,7 +112,19 @@ def association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         r6(F.col("confidence")).alias("confidence"))
 
 
-@query()
+_K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
+_JOB = f"""p AS (SELECT ts, CASE WHEN event_type = 'error' THEN 100 + {_K} % 10 END AS a, CASE WHEN event_type = 'view' THEN 200 + {_K} % 5 END AS b FROM events),
+filled AS (SELECT ts, CAST(last_value(a IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS code, last_value(b IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS b FROM p),
+log AS (SELECT * FROM filled WHERE code IS NOT NULL AND b IS NOT NULL),
+{_RUNS}, {_SPACED},
+w AS (SELECT s.code AS error_code, s.run_start, list_sort(list_distinct(list_concat(list(DISTINCT l.code), list(DISTINCT CAST(l.b AS BIGINT))))) AS items
+  FROM spaced s JOIN log l ON l.ts >= s.run_start - INTERVAL {WINDOW} SECOND AND l.ts < s.run_start GROUP BY s.code, s.run_start HAVING count(*) > {OBS}), {_frequent_sql(0.5)}"""
+
+
+@query(f"""WITH RECURSIVE {_JOB}
+SELECT error_code, 'set' AS kind, {_TEXT.format('itemset')} AS items, {sql_r6('support / n_windows')} AS score FROM f
+UNION ALL SELECT s.error_code, 'rule', {_TEXT.format('a.itemset')} || ' => ' || {_TEXT.format('list_sort(list_filter(s.itemset, lambda x: NOT list_contains(a.itemset, x)))')}, {sql_r6('s.support / a.support')}
+FROM f s JOIN f a ON a.error_code = s.error_code AND len(a.itemset) < len(s.itemset) AND list_has_all(s.itemset, a.itemset) WHERE s.support / a.support >= {CONFIDENCE}""")
 def mined_across_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job on two code columns: itemsets over both, before errors of the first."""
     params = MiningParams("a.errorCode", GAP, OBS, WINDOW, True, 0.5, CONFIDENCE)

@@ -57,13 +57,17 @@ def _with_probability(scored: DataFrame, target: int) -> DataFrame:
 def logistic(train: DataFrame, target: int, seed: int = 0) -> Fitted:
     """K6, with the usual unit L2 penalty on the summed loss (1/n on Spark's mean loss)."""
     n = max(train.count(), 1)
-    model = LogisticRegression(featuresCol="__v", labelCol="__y", maxIter=100, regParam=1.0 / n, standardization=False).fit(_binary(train, target))
+    model = LogisticRegression(
+        featuresCol="__v", labelCol="__y", maxIter=100, regParam=1.0 / n, tol=1e-4, standardization=False,
+    ).fit(_binary(train, target))
     return Fitted(lambda df: _with_probability(model.transform(_binary(df, target)), target))
 
 
 def _fit_svm(train: DataFrame, target: int):
     n = max(train.count(), 1)
-    return LinearSVC(featuresCol="__v", labelCol="__y", maxIter=100, regParam=1.0 / n, standardization=False).fit(_binary(train, target))
+    return LinearSVC(
+        featuresCol="__v", labelCol="__y", maxIter=100, regParam=1.0 / n, tol=1e-3, standardization=False,
+    ).fit(_binary(train, target))
 
 
 def svm_linear(train: DataFrame, target: int, seed: int = 0) -> Fitted:
