@@ -8,20 +8,28 @@ MICROS = 1_000_000
 
 
 def epoch_us(ts: Column) -> Column:
-    """Microseconds since 1970-01-01 00:00:00 of a zone-less timestamp."""
-    fraction = F.date_part(F.lit("SECOND"), ts) % F.lit(1)
-    return F.unix_timestamp(ts) * F.lit(MICROS) + (fraction * F.lit(MICROS)).cast("bigint")
+    """Microseconds since 1970-01-01 00:00:00 of a zone-less timestamp, also before that day.
+
+    The second of the minute is exact as a double; decimal arithmetic would be five times slower.
+    """
+    minutes = (F.unix_date(ts.cast("date")).cast("bigint") * 24 + F.hour(ts)) * 60 + F.minute(ts)
+    within_minute = F.round(F.date_part(F.lit("SECOND"), ts).cast("double") * MICROS).cast("bigint")
+    return minutes * F.lit(60 * MICROS) + within_minute
+
+
+def _micros(count: Column) -> Column:
+    return F.expr("INTERVAL '0 00:00:00.000001' DAY TO SECOND") * count
 
 
 def from_epoch_us(us: Column) -> Column:
     """Inverse of :func:`epoch_us`."""
-    seconds = us.cast("decimal(20,0)") / F.lit(MICROS).cast("decimal(10,0)")
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + _micros(us)
 
 
-def shift(ts: Column, seconds: Column | int | float) -> Column:
+def shift(ts: Column, seconds: Column | int) -> Column:
+    """``ts`` moved by whole seconds."""
     amount = seconds if isinstance(seconds, Column) else F.lit(seconds)
-    return ts + F.make_dt_interval(secs=amount.cast("decimal(18,6)"))
+    return ts + _micros(amount.cast("bigint") * F.lit(MICROS))
 
 
 def bucket(us: Column, seconds: float) -> Column:

@@ -179,7 +179,7 @@ def negatives_needed(positives: int, balance_ratio: float) -> int:
 def sample_examples(examples: DataFrame, n: int, seed: int, identity: Sequence[str] = ("machine_id", "ts"), ts: str = "ts") -> DataFrame:
     """F8: exactly ``n`` rows (or all, if fewer) drawn without replacement, repeatably."""
     ids: list[Column] = [epoch_us(col(c)) if c == ts else col(c) for c in identity]
-    return keep_first(examples, n, seed, ids)
+    return keep_first(settle(examples, "candidates"), n, seed, ids)  # read twice: counts, then rows
 
 
 def balanced_negatives(

@@ -37,12 +37,14 @@ def with_slots(
     width = max(int(slot_seconds * MICROS), 1)
     rows = df.withColumn(_US, us).withColumn(_SLOT, F.col(_US) - F.pmod(_US, F.lit(width)))
     while width > 1:
-        crowded = settle(
+        crowded = (
             rows.groupBy(*pick(keys), _SLOT).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > slot_rows)
-            .select(*pick(keys), _SLOT, F.lit(True).alias("__crowded")), "crowded-slots")
-        found = crowded.count()
-        if found == 0:
+            .select(*pick(keys), _SLOT, F.lit(True).alias("__crowded"))
+        )
+        if crowded.isEmpty():
             break
+        crowded = settle(crowded, "crowded-slots")
+        found = crowded.count()
         width = max(width // 60, 1)
         part = F.col(_US) - F.col(_SLOT)
         finer = F.when(F.col("__crowded"), F.col(_US) - F.pmod(part, F.lit(width))).otherwise(F.col(_SLOT))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from faultline.functions.names import col, pick
+from faultline.functions.times import from_epoch_us
 
 # The separator of concatenated objects, the invalid hex escape and its repair.
 JOINT = "}{"
@@ -90,8 +91,7 @@ def flatten_record(df: DataFrame, record: str = "record") -> DataFrame:
 
 def from_epoch_ms(ms: Column) -> Column:
     """Epoch milliseconds to a zone-less timestamp with whole seconds."""
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
-        secs=F.floor(ms / F.lit(1000)).cast("decimal(18,6)"))
+    return from_epoch_us((ms - F.pmod(ms, F.lit(1000))) * F.lit(1000))
 
 
 def convert_timestamps(df: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def random_series(seed, n=300, missing=0.7):
 def test_epoch_round_trip(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
-        df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 2, 30, 0, 123456),), (dt.datetime(1969, 12, 31, 23, 0, 0),)], "t timestamp_ntz")
+        df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 2, 30, 0, 123456),), (dt.datetime(1969, 12, 31, 23, 59, 58, 250000),), (dt.datetime(2024, 1, 1, 0, 0, 59, 999999),)], "t timestamp_ntz")
         back = df.select("t", from_epoch_us(epoch_us(F.col("t"))).alias("b"), epoch_us(F.col("t")).alias("us")).collect()
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
