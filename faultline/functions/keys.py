@@ -6,8 +6,6 @@ rows. These keys depend on the row's identity and a seed alone.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, functions as F
 
 
@@ -19,7 +17,3 @@ def draw_key(seed: int, *identity: Column) -> Column:
 def uniform(seed: int, *identity: Column) -> Column:
     """Repeatable number in [0, 1)."""
     return F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(1 << 52)) / F.lit(float(1 << 52))
-
-
-def identity_columns(names: Sequence[str]) -> list[Column]:
-    return [F.col(n) for n in names]

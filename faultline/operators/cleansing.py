@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import types as T
 
 from faultline.functions.names import col, is_error_code, numeric_columns, pick
 from faultline.functions.stats import pearson

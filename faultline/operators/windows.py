@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from faultline.functions.names import col, pick
-from faultline.functions.times import MICROS, bucket, epoch_us, from_epoch_us, shift
+from faultline.functions.times import bucket, epoch_us, shift
 from faultline.params import Horizon
 
 SALTS = 8
