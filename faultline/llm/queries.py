@@ -6,9 +6,9 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import bpe, huffman
+from faultline.llm import bpe, fertility, huffman, language, licenses, toxicity
 from faultline.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every text, exact and with bounded edits."""
+    return licenses.summarise(licenses.find_notices(_table(spark, sf_dir, "documents")), "doc_id")
+
+
+@query
+def op3_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, fertility and verdict of every text."""
+    measured = fertility.measure(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return fertility.judge(measured)
+
+
+@query
+def op5_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by its nearest labelled examples; a fifth of the labels is held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = language.remainder("doc_id", 5) == 0
+    labels = _table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "toxic")
+    scored = toxicity.score(docs, toxicity.fit(docs, docs.join(labels, "doc_id")))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+@query
+def op6_compressed_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text by dictionary compression; a quarter of the documents is held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language.remainder("doc_id", 4) == 2
+    found = language.classify(docs, language.fit(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query
 def op9_byte_pair_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text to tokens and back."""
