@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from faultline.llm import lexing
 
 LONG_BYTES = 256
-DECODE_ROWS = 1 << 20
+DECODE_ROWS = 1 << 18
+PIECES = 20_000
 
 _MERGE = """
 WITH RECURSIVE state(piece, pos, token, done) AS (
@@ -67,7 +68,7 @@ class Codec:
         merges = [(self.ranks[token[:cut]], self.ranks[token[cut:]], rank) for token, rank in self.ranks.items()
                   for cut in range(1, len(token)) if token[:cut] in self.ranks and token[cut:] in self.ranks]
         self.pairs = {(lhs, rhs): rank for lhs, rhs, rank in merges}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": tempfile.gettempdir()})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": tempfile.gettempdir()})
         columns = np.array(merges, np.int32).reshape(-1, 3)
         self._table("merges", lhs=columns[:, 0], rhs=columns[:, 1], merged=columns[:, 2])
         # one Latin-1 character for each byte, so that parts of characters can be strings
@@ -82,6 +83,10 @@ class Codec:
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of the pieces, one piece after the other, and the number of tokens of each."""
+        found = [self._merged(pieces[i: i + PIECES]) for i in range(0, len(pieces), PIECES)]
+        return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
+    def _merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         data = [p.encode() for p in pieces]
         sizes = np.array([len(d) for d in data], np.int64)
         short = np.flatnonzero(sizes <= LONG_BYTES)
@@ -179,10 +184,30 @@ def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", tokens_co
     def run(batches):
         own = codec(ranks_path)
         for batch in batches:
-            lists = [np.frombuffer(x.as_py() or b"", "<u4") for x in batch.column("tokens")]
-            decoded = own.decode(lists) if lists else []
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("tokens"), pa.array(decoded, pa.binary())],
-                                             names=["key", "tokens", "decoded"])
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                lists = [np.frombuffer(x.as_py() or b"", "<u4") for x in part.column("tokens")]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("tokens"), pa.array(own.decode(lists), pa.binary())],
+                                                 names=["key", "tokens", "decoded"])
+
+    schema = T.StructType([T.StructField("key", kind), T.StructField("tokens", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+    return source.mapInArrow(run, schema).withColumnRenamed("key", id_col)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass of one Python worker: ``id_col``, ``tokens`` and ``decoded``."""
+    kind = docs.schema[id_col].dataType
+    source = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+
+    def run(batches):
+        own = codec(ranks_path)
+        for batch, lo, hi, data, offsets in lexing.batch_blocks(batches):
+            tokens, first = own.encode_block(data, offsets)
+            raw = tokens.astype("<u4")
+            lists = [raw[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").slice(lo, hi - lo), pa.array([x.tobytes() for x in lists], pa.binary()), pa.array(own.decode(lists), pa.binary())],
+                names=["key", "tokens", "decoded"])
 
     schema = T.StructType([T.StructField("key", kind), T.StructField("tokens", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
     return source.mapInArrow(run, schema).withColumnRenamed("key", id_col)

@@ -13,7 +13,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 _SEGMENT = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -214,7 +214,7 @@ class Lexicon:
     their values as one array and the number of values of each. Beyond ``limit`` spans the table starts anew, so that its memory is bounded.
     """
 
-    def __init__(self, compute, limit: int = 500_000, dtype=np.uint32):
+    def __init__(self, compute, limit: int = 300_000, dtype=np.uint32):
         self.compute, self.limit, self.dtype = compute, limit, dtype
         self._clear()
 

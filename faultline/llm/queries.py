@@ -60,7 +60,7 @@ def op6_compressed_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_pair_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text to tokens and back."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path), "doc_id")
+    return bpe.digests(bpe.round_trip(_table(spark, sf_dir, "documents"), path), "doc_id")
 
 
 @query
