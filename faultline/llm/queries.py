@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import bpe, fertility, huffman, language, licenses, toxicity
+from faultline.llm import bpe, fertility, huffman, language, licenses, mixing, pseudonyms, toxicity
 from faultline.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def op1_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summarise(licenses.find_notices(_table(spark, sf_dir, "documents")), "doc_id")
 
 
+@query
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix by target weights takes of every document."""
+    return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, fertility and verdict of every text."""
@@ -37,6 +43,14 @@ def op3_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(measured)
 
 
+@query
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its personal numbers, dates, addresses and secrets replaced."""
+    made = pseudonyms.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("pseudonyms", lambda p: p["kind"]))), ",")
+    return made.select("doc_id", "text", F.coalesce(F.size("pseudonyms"), F.lit(0)).cast("long").alias("n_replaced"), F.coalesce(kinds, F.lit("")).alias("kinds"))
+
+
 @query
 def op5_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text by its nearest labelled examples; a fifth of the labels is held out."""
