@@ -194,23 +194,23 @@ def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", tokens_co
     return source.mapInArrow(run, schema).withColumnRenamed("key", id_col)
 
 
-def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``encode`` and ``decode`` in one pass of one Python worker: ``id_col``, ``tokens`` and ``decoded``."""
-    kind = docs.schema[id_col].dataType
-    source = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+def round_trip(docs: DataFrame, ranks_path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass of one Python worker: the columns ``keep``, ``tokens`` and ``decoded``."""
+    source = docs.select(*keep, F.col(text_col).alias("__text"))
 
     def run(batches):
         own = codec(ranks_path)
-        for batch, lo, hi, data, offsets in lexing.batch_blocks(batches):
+        for batch, lo, hi, data, offsets in lexing.batch_blocks(batches, "__text"):
             tokens, first = own.encode_block(data, offsets)
             raw = tokens.astype("<u4")
             lists = [raw[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+            kept = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").slice(lo, hi - lo), pa.array([x.tobytes() for x in lists], pa.binary()), pa.array(own.decode(lists), pa.binary())],
-                names=["key", "tokens", "decoded"])
+                [*(kept.column(c) for c in keep), pa.array([x.tobytes() for x in lists], pa.binary()), pa.array(own.decode(lists), pa.binary())],
+                names=[*keep, "tokens", "decoded"])
 
-    schema = T.StructType([T.StructField("key", kind), T.StructField("tokens", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
-    return source.mapInArrow(run, schema).withColumnRenamed("key", id_col)
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("tokens", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+    return source.mapInArrow(run, schema)
 
 
 def digests(decoded: DataFrame, *keep: str) -> DataFrame:

@@ -93,7 +93,7 @@ class Classifier:
 
 
 def classify(docs: DataFrame, profiles: list[Profile], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
-    """All columns that ``docs`` was given as ``id_col``, with ``lang_pred``, ``score``, ``rejected`` and the ``sizes`` by language."""
+    """``id_col`` with ``lang_pred``, ``score``, ``rejected`` and the ``sizes`` by language."""
     kind = docs.schema[id_col].dataType
     source = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     langs = [p.lang for p in profiles]
@@ -113,6 +113,18 @@ def classify(docs: DataFrame, profiles: list[Profile], id_col: str = "doc_id", t
             .withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < margin)))
 
 
+def known(docs: DataFrame, profiles: list[Profile], text_col: str = "text", margin: float = MARGIN) -> DataFrame:
+    """The rows of ``docs`` whose language isn't rejected, in its columns."""
+
+    def run(batches):
+        own = Classifier(profiles)
+        for batch in batches:
+            found = [own.classify(t.as_py()) for t in batch.column(text_col)]
+            yield batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= margin for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder(id_col: str, n: int) -> Column:
     """crc32 of the identifier as text, modulo ``n``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

@@ -242,13 +242,13 @@ def pseudonymise(docs: DataFrame, key: str = OPEN_KEY, text_col: str = "text", f
     pattern = F.lit(CANDIDATE)
     none = F.expr("CAST(array() AS array<string>)")
     found = F.when(_may_hold(text), F.regexp_extract_all(text, pattern, 0)).otherwise(none)
-    kinds = F.transform(F.col("_found"), lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value")))
-    pairs = F.transform(F.col("_kinds"), lambda p: p.withField("pseudonym", pseudonym(p["value"], p["kind"], key)))
+    kinds = F.transform(F.col("__found"), lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value")))
+    pairs = F.transform(F.col("__kinds"), lambda p: p.withField("pseudonym", pseudonym(p["value"], p["kind"], key)))
     gaps = F.split(text, CANDIDATE, -1)
-    joined = F.concat(F.array_join(F.transform(F.col("_pairs"), lambda p, i: F.concat(F.get(F.col("_gaps"), i), p["pseudonym"])), ""),
-                      F.element_at("_gaps", -1))
-    return (docs.withColumn("_found", found).withColumn("_kinds", F.when(F.size("_found") > 0, kinds)).withColumn("_pairs", pairs)
-            .withColumn("_gaps", F.when(F.size("_found") > 0, gaps))
-            .withColumn(text_col, F.when(F.size("_found") > 0, joined).otherwise(text))
-            .withColumn(found_col, F.filter("_pairs", lambda p: p["value"] != p["pseudonym"]))
-            .drop("_found", "_kinds", "_pairs", "_gaps"))
+    joined = F.concat(F.array_join(F.transform(F.col("__pairs"), lambda p, i: F.concat(F.get(F.col("__gaps"), i), p["pseudonym"])), ""),
+                      F.element_at("__gaps", -1))
+    return (docs.withColumn("__found", found).withColumn("__kinds", F.when(F.size("__found") > 0, kinds)).withColumn("__pairs", pairs)
+            .withColumn("__gaps", F.when(F.size("__found") > 0, gaps))
+            .withColumn(text_col, F.when(F.size("__found") > 0, joined).otherwise(text))
+            .withColumn(found_col, F.filter("__pairs", lambda p: p["value"] != p["pseudonym"]))
+            .drop("__found", "__kinds", "__pairs", "__gaps"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import bpe, fertility, huffman, language, licenses, mixing, pseudonyms, toxicity
+from faultline.llm import bpe, fertility, huffman, jaccard, language, licenses, mixing, projections, pseudonyms, toxicity
 from faultline.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,18 @@ def op6_compressed_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query
+def op7_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes and near-duplicate components of all documents."""
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate components of all vectors."""
+    return projections.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_byte_pair_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text to tokens and back."""
