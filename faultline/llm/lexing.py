@@ -188,6 +188,15 @@ def pretokens(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.append(starts[1:], n)[: len(starts)], np.searchsorted(starts, offsets)
 
 
+def letter_runs(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of letters, and the first run of each text (and the end)."""
+    solid = classes()[points] == LETTER
+    first, last = _edges(len(points), offsets)
+    starts = np.flatnonzero(solid & (first | ~np.roll(solid, 1)))
+    ends = np.flatnonzero(solid & (last | ~np.roll(solid, -1))) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices ``start .. start + length`` of all rows, one row after the other."""
     total = int(lengths.sum())

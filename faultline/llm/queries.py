@@ -57,7 +57,7 @@ def op5_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = language.remainder("doc_id", 5) == 0
     labels = _table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "toxic")
-    scored = toxicity.score(docs, toxicity.fit(docs, docs.join(labels, "doc_id")))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 

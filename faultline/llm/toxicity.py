@@ -1,20 +1,21 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Features are the words of a text and the beginnings of longer words. A vocabulary of bounded size holds the features
-that best tell the labels of the training rows apart; document frequencies are counted over all documents. Labelled
-rows become unit TF-IDF vectors, equal vectors are one example with its counts of labels, and a bounded sample of
-them is indexed: postings by feature, in blocks of ``BLOCK`` examples with the largest weight of each block. A query
+The model is fitted on a bounded, hash-chosen sample of ``EXAMPLES`` labelled rows. Features are the words of a text and
+the beginnings of longer words. A vocabulary of bounded size holds the features that best tell the labels of the sample
+apart; document frequencies are counted over all documents. The sample's texts become unit TF-IDF vectors, equal vectors
+are one example with its counts of labels, and all are indexed: postings by feature, in blocks of ``BLOCK`` examples with the largest weight of each block. A query
 adds the block maxima into bounds, visits blocks from the highest bound, and stops when no block can reach its k-th best
 cosine, so its neighbours are exact. Their votes, weighted by cosine and shrunk towards the rate of training rows, give the
 score; the neighbours are the evidence. Texts without a known feature get the rate of such training rows.
 
 Null and empty texts have no feature. Ties in cosine go to the earlier example (examples are ordered by their features).
-Training pairs with a null text, label or id are not learned from; repeated rows are counted as often as they stand. Without
+Labels with a null id or class, and null texts, are not learned from; repeated rows are counted as often as they stand. Without
 training rows every score is 0. Further columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from faultline.llm import lexing
 from faultline.session import settle
 
 #: Documented bounds of the model; everything else covers all rows.
@@ -36,17 +38,43 @@ MIN_DOCUMENTS = 4
 MIN_CHI = 30.0
 
 
-def features(text: str | None) -> Counter:
-    """Counts of the words (letters only, lower case) of a text and of their beginnings ("word-")."""
-    import re
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def words(text: str | None) -> Counter:
+    """Counts of the words of a text: letters only, lower case."""
+    return Counter(_WORDS.findall((text or "").lower()))
+
+
+def features(word: str) -> list[str]:
+    """A word and its beginnings ("word-")."""
+    return [word, *(word[:k] + "-" for k in PREFIXES if len(word) > k)]
 
-    words = Counter(re.findall(r"[^\W\d_]+", (text or "").lower()))
-    out = Counter(words)
-    for word, n in words.items():
-        for k in PREFIXES:
-            if len(word) > k:
-                out[word[:k] + "-"] += n
-    return out
+
+class Finder:
+    """The known features of texts, by number; those of each distinct word are looked up once."""
+
+    def __init__(self, terms: dict[str, int]):
+        self.terms = terms
+        self.lexicon = lexing.Lexicon(self._numbers)
+
+    def _numbers(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [[self.terms[t] for t in features(word) if t in self.terms] for word in names]
+        return np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found], np.int64)
+
+    def counts(self, texts: list[str | None]):
+        """For each text its known features in ascending order, and how often each stands in it."""
+        lowered = pa.array([(t or "").lower() for t in texts], pa.large_string())
+        width = max(1, len(self.terms))
+        for lo, hi, data, offsets in lexing.blocks(lowered):
+            points, own = lexing.code_points(data, offsets)
+            starts, ends, first = lexing.letter_runs(points, own)
+            numbers, lengths = self.lexicon.values(self.lexicon.look_up(points, starts, ends))
+            at = np.concatenate([[0], np.cumsum(lengths)])[first]
+            keys, n = np.unique(np.repeat(np.arange(hi - lo), np.diff(at)) * width + numbers, return_counts=True)
+            bounds = np.searchsorted(keys, np.arange(hi - lo + 1) * width)
+            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                yield keys[x:y] % width, n[x:y]
 
 
 @dataclass
@@ -65,24 +93,22 @@ class Model:
     def __post_init__(self):
         n, n_terms = len(self.vectors), len(self.terms)
         self.n_blocks = -(-n // BLOCK)
-        owner = np.repeat(np.arange(n), [len(v[0]) for v in self.vectors]) if n else np.zeros(0, np.int64)
-        term = np.concatenate([v[0] for v in self.vectors]) if n else np.zeros(0, np.int64)
-        weight = np.concatenate([v[1] for v in self.vectors]) if n else np.zeros(0)
-        order = np.lexsort((owner, term))
-        self.post_owner, self.post_weight = owner[order], weight[order]
-        self.post_at = np.searchsorted(term[order], np.arange(n_terms + 1))
-        key = term * max(self.n_blocks, 1) + owner // BLOCK
-        cells, where = np.unique(key, return_inverse=True)
+        lengths = np.array([len(v[0]) for v in self.vectors], np.int64)
+        owner = np.repeat(np.arange(n), lengths)
+        self.term = np.concatenate([v[0] for v in self.vectors]) if n else np.zeros(0, np.int64)
+        self.weight = np.concatenate([v[1] for v in self.vectors]) if n else np.zeros(0)
+        self.row_at = np.concatenate([[0], np.cumsum(lengths)])
+        # the inverted index: by feature, the blocks that hold it and its largest weight there
+        cells, where = np.unique(self.term * max(self.n_blocks, 1) + owner // BLOCK, return_inverse=True)
         most = np.zeros(len(cells))
-        np.maximum.at(most, where, weight)
+        np.maximum.at(most, where, self.weight)
         self.block_of, self.block_most = cells % max(self.n_blocks, 1), most
         self.block_at = np.searchsorted(cells // max(self.n_blocks, 1), np.arange(n_terms + 1))
+        self.finder, self.cache = Finder(self.terms), {}
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Known features in order, and their unit weights (1 + log count) * idf."""
-        known = sorted((self.terms[t], n) for t, n in counts.items() if t in self.terms)
-        terms = np.array([t for t, _ in known], np.int64)
-        weights = (1 + np.log(np.array([n for _, n in known], float))) * self.idf[terms] if known else np.zeros(0)
+    def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features and their unit weights (1 + log count) * idf."""
+        weights = (1 + np.log(counts)) * self.idf[terms]
         norm = np.sqrt((weights ** 2).sum())
         return terms, weights / norm if norm > 0 else weights
 
@@ -94,49 +120,47 @@ class Model:
             bounds[self.block_of[lo:hi]] += w * self.block_most[lo:hi]
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        found, cosines, step, at = np.zeros(0, np.int64), np.zeros(0), 8, 0
+        query = np.zeros(len(self.terms))
+        query[terms] = weights
+        found, cosines, step, at = np.zeros(0, np.int64), np.zeros(0), 4, 0
         while at < len(order):
             # a bound equal to the k-th cosine may still hold an earlier example
             if len(found) >= k and bounds[order[at]] < cosines[k - 1] - 1e-9:
                 break
-            chosen = np.sort(order[at: at + step])
-            scores = np.zeros((len(chosen), BLOCK))
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                owners = self.post_owner[self.post_at[t]: self.post_at[t + 1]]
-                lo, hi = np.searchsorted(owners, chosen * BLOCK), np.searchsorted(owners, (chosen + 1) * BLOCK)
-                for row in np.flatnonzero(hi > lo).tolist():
-                    a, b = self.post_at[t] + lo[row], self.post_at[t] + hi[row]
-                    scores[row, self.post_owner[a:b] - chosen[row] * BLOCK] += w * self.post_weight[a:b]
-            hit = scores.ravel() > 0
-            numbers = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()[hit]
-            found, cosines = np.concatenate([found, numbers]), np.concatenate([cosines, np.minimum(scores.ravel()[hit], 1.0)])
-            best = np.lexsort((found, -np.round(cosines, 12)))
+            chosen = order[at: at + step]
+            numbers = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            numbers = numbers[numbers < len(self.vectors)]
+            lengths = self.row_at[numbers + 1] - self.row_at[numbers]
+            where = lexing.ragged(self.row_at[numbers], lengths)
+            scores = np.add.reduceat(query[self.term[where]] * self.weight[where], np.cumsum(lengths) - lengths)
+            hit = scores > 0
+            found, cosines = np.concatenate([found, numbers[hit]]), np.concatenate([cosines, np.minimum(scores[hit], 1.0)])
+            best = np.lexsort((found, -np.round(cosines, 12)))[:k]
             found, cosines = found[best], cosines[best]
             at, step = at + step, step * 2
         return found[:k], cosines[:k]
 
-    def score(self, text: str | None) -> tuple[float, list[dict]]:
-        """Score and evidence: the neighbours with cosine and labels."""
-        terms, weights = self.vector(features(text))
-        if not len(terms):
-            return self.empty_rate, []
-        key = (terms.tobytes(), weights.tobytes())
-        known = self._cache.get(key) if hasattr(self, "_cache") else None
-        if known is None:
-            found, cosines = self.nearest(terms, weights)
-            vote = cosines ** 2
-            share = (self.toxic[found] + SHRINKAGE * self.rate) / (self.total[found] + SHRINKAGE)
-            score = float(((vote * share).sum() + SHRINKAGE * self.rate) / (vote.sum() + SHRINKAGE))
-            known = (score, [{"doc_id": int(self.ids[i]), "cosine": float(c), "toxic": int(self.toxic[i]), "rows": int(self.total[i])} for i, c in zip(found, cosines, strict=True)])
-            self._cache = getattr(self, "_cache", {})
-            if len(self._cache) < 50_000:
-                self._cache[key] = known
-        return known
-
-
-def _count_features(docs: DataFrame, with_label: bool, keep: frozenset[str] | None = None) -> DataFrame:
-    """Documents and toxic documents of each feature; each task adds up its own rows, and sends them on when they are many."""
-    source = docs.select("text", F.col("toxic").cast("int") if with_label else F.lit(0).alias("toxic"))
+    def scores(self, texts: list[str | None]):
+        """For each text its score and the evidence: the neighbours with cosine and labels."""
+        for terms, counts in self.finder.counts(texts):
+            if not len(terms):
+                yield self.empty_rate, []
+                continue
+            key = (terms.tobytes(), counts.tobytes())
+            known = self.cache.get(key)
+            if known is None:
+                found, cosines = self.nearest(*self.unit(terms, counts))
+                vote = cosines ** 2
+                share = (self.toxic[found] + SHRINKAGE * self.rate) / (self.total[found] + SHRINKAGE)
+                score = float(((vote * share).sum() + SHRINKAGE * self.rate) / (vote.sum() + SHRINKAGE))
+                known = (score, [{"doc_id": int(self.ids[i]), "cosine": float(c), "toxic": int(self.toxic[i]), "rows": int(self.total[i])} for i, c in zip(found, cosines, strict=True)])
+                if len(self.cache) < 20_000:
+                    self.cache[key] = known
+            yield known
+
+
+def _class_counts(labelled: DataFrame) -> DataFrame:
+    """Documents and toxic documents of each feature; tasks add up runs of their rows first."""
 
     def run(batches):
         n, toxic = Counter(), Counter()
@@ -150,24 +174,49 @@ def _count_features(docs: DataFrame, with_label: bool, keep: frozenset[str] | No
 
         for batch in batches:
             for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-                found = features(text.as_py())
-                names = found if keep is None else [t for t in found if t in keep]
-                n.update(dict.fromkeys(names, 1))
+                names = {t for word in words(text.as_py()) for t in features(word)}
+                n.update(names)
                 if label:
-                    toxic.update(dict.fromkeys(names, 1))
+                    toxic.update(names)
                 if len(n) > 300_000:
                     yield flush()
         yield flush()
 
-    return source.mapInArrow(run, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    return labelled.select("text", "toxic").mapInArrow(run, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+
+
+def _frequencies(docs: DataFrame, terms: dict[str, int]) -> np.ndarray:
+    """Over all documents, how many hold each known feature; a task sends one row per feature."""
+
+    def run(batches):
+        finder, total = Finder(terms), np.zeros(len(terms), np.int64)
+        for batch in batches:
+            for terms_, _ in finder.counts(batch.column("text").to_pylist()):
+                total[terms_] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms))), pa.array(total)], names=["term", "n"])
+
+    out = np.zeros(len(terms), np.int64)
+    for row in docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        out[row["term"]] = row["n"]
+    return out
+
+
+def sample(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, seed: int = 11) -> DataFrame:
+    """``doc_id``, ``text``, ``toxic`` of the ``examples`` labels with the smallest hashes.
+
+    So few rows by construction, they are sent to the documents instead of moving the texts.
+    """
+    usable = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    chosen = settle(usable.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "toxic").limit(examples), "labels")
+    return docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
 
-def fit(docs: DataFrame, labelled: DataFrame, vocabulary: int = VOCABULARY, examples: int = EXAMPLES, seed: int = 11) -> Model:
-    """Learn from ``labelled`` (doc_id, text, toxic); document frequencies come from all of ``docs``.
+def fit(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, examples: int = EXAMPLES, seed: int = 11) -> Model:
+    """Learn from ``labels`` (doc_id, toxic) of ``docs``; document frequencies come from all of ``docs``.
 
     Of the chosen features and examples a bounded number comes to the driver: ``vocabulary`` and ``examples``.
     """
-    labelled = labelled.filter("doc_id IS NOT NULL AND text IS NOT NULL AND toxic IS NOT NULL")
+    labelled = settle(sample(docs, labels, examples, seed), "labelled", compression="zstd")
     sizes = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     n, toxic = int(sizes["n"]), int(sizes["toxic"])
     if not n:
@@ -177,17 +226,16 @@ def fit(docs: DataFrame, labelled: DataFrame, vocabulary: int = VOCABULARY, exam
     c, d = F.lit(float(toxic)) - a, F.lit(float(n - toxic)) - b
     low = (a + b) * (c + d) * (a + c) * (b + d)
     chi = F.when(low > 0, n * (a * d - b * c) ** 2 / low).otherwise(0.0)
-    chosen = (_count_features(labelled, True).filter(F.col("n") >= MIN_DOCUMENTS).withColumn("chi", F.round(chi, 6)).filter(F.col("chi") > MIN_CHI)
+    chosen = (_class_counts(labelled).filter(F.col("n") >= MIN_DOCUMENTS).withColumn("chi", F.round(chi, 6)).filter(F.col("chi") > MIN_CHI)
               .orderBy(F.desc("chi"), "term").limit(vocabulary).select("term").collect())
     terms = {r["term"]: i for i, r in enumerate(sorted(chosen, key=lambda r: r["term"]))}
     n_docs = docs.count()
-    frequency = {r["term"]: r["n"] for r in _count_features(docs, False, frozenset(terms)).collect()} if terms else {}
-    idf = np.array([np.log((1 + n_docs) / (1 + frequency.get(t, 0))) + 1 for t in terms])
+    idf = np.log((1 + n_docs) / (1 + _frequencies(docs, terms))) + 1 if terms else np.zeros(0)
     model = Model(terms, idf, [], np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 0.0, toxic / n)
 
     def vectors(batches):
         for batch in batches:
-            found = [model.vector(features(t.as_py())) for t in batch.column("text")]
+            found = [model.unit(*x) for x in model.finder.counts(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("toxic"), pa.array([x[0].tolist() for x in found], pa.list_(pa.int64())), pa.array([x[1].tolist() for x in found], pa.list_(pa.float64()))],
                 names=["doc_id", "toxic", "terms", "weights"])
@@ -197,7 +245,7 @@ def fit(docs: DataFrame, labelled: DataFrame, vocabulary: int = VOCABULARY, exam
                     .groupBy("terms", "weights").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"), F.min("doc_id").alias("doc_id")), "examples")
     none = groups.filter(F.size("terms") == 0).agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).first()
     empty = (float(none["toxic"] or 0) + 0.5 * toxic / n) / (float(none["n"] or 0) + 0.5)
-    rows = groups.filter(F.size("terms") > 0).orderBy(F.xxhash64("terms", "weights", F.lit(seed)), "terms", "weights").limit(examples).collect()
+    rows = groups.filter(F.size("terms") > 0).collect()
     rows.sort(key=lambda r: (r["terms"], r["weights"]))  # like examples share blocks, so that block maxima are tight
     return Model(terms, idf, [(np.array(r["terms"], np.int64), np.array(r["weights"])) for r in rows], np.array([r["toxic"] for r in rows], float),
                  np.array([r["n"] for r in rows], float), np.array([r["doc_id"] for r in rows], np.int64), empty, toxic / n)
@@ -213,7 +261,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         own = shared.value
         for batch in batches:
-            found = [own.score(t.as_py()) for t in batch.column("text")]
+            found = list(own.scores(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], evidence)],
                                              names=["key", "score", "evidence"])
 
