@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -127,6 +128,20 @@ def standardised_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled.withColumn("value", F.round("value", 5) + F.lit(0.0))
 
 
+_SCALES = {"min_max": ("min(value)", "max(value) - min(value)"), "robust": ("quantile_cont(value, 0.5)", "quantile_cont(value, 0.75) - quantile_cont(value, 0.25)"), "max_abs": ("0.0", "max(abs(value))")}
+
+
+@query(f"""{_START}, {pairs_sql()}, feats AS (SELECT example_ts, series, {_RAW_LIST} FROM pairs GROUP BY 1, 2), long AS ({_LONG}),
+s AS (""" + " UNION ALL ".join(f"SELECT '{k}' AS scaler, feature, {a} AS c, {b} AS w FROM long GROUP BY feature" for k, (a, b) in _SCALES.items()) + """)
+SELECT s.scaler, l.example_ts, l.feature, round(CASE WHEN s.w > 1e-9 THEN (l.value - s.c) / s.w ELSE l.value - s.c END, 5) + 0.0 AS value FROM long l JOIN s ON s.feature = l.feature""")
+def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long features with each of the other scalers."""
+    feats = features.minimal_features(pairs_before_errors(spark, sf_dir), EXAMPLE)
+    long = settle(features.features_long(feats, EXAMPLE), "features")
+    parts = [features.scale_long(long, name).select(F.lit(name).alias("scaler"), "example_ts", "feature", "value") for name in _SCALES]
+    return reduce(DataFrame.unionByName, parts).withColumn("value", F.round("value", 5) + F.lit(0.0))
+
+
 @query(f"""{_START}, {_NEG}, {_EXAMPLE_PAIRS}, w AS (SELECT example_ts, code, avg(value) FILTER (series = 'click') AS click, avg(value) FILTER (series = 'view') AS view FROM pairs GROUP BY 1, 2)
 SELECT example_ts, click, view, CASE WHEN code = {TARGET} THEN {TARGET} ELSE -1 END AS label FROM (
   SELECT example_ts, code, {sql_r6('click')} AS click, {sql_r6('view')} AS view FROM w)""")
@@ -167,16 +182,21 @@ def _shown(df: DataFrame) -> DataFrame:
     return rounded(df.toDF(*[_named(c) for c in df.columns]))
 
 
+def _more(x: str, limit: str) -> str:
+    """x > limit by more than rounding."""
+    return f"{x} > ({limit}) * (1 + 1e-9) + 1e-15"
+
+
 _Q = (0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9)
 
 
 @query(f"""{_DAY_PAIRS}, {_MOMENTS}, g AS (SELECT example_ts, series, any_value(n) AS n, any_value(mu) AS mu, any_value(sigma) AS sigma, any_value(lo) AS lo, any_value(hi) AS hi,
   sum(value * value) AS abs_energy, median(value) AS med, avg((value - mu) ** 2) AS m2, avg((value - mu) ** 3) AS m3, avg((value - mu) ** 4) AS m4,
-  count(*) FILTER (value > mu) AS count_above_mean, count(*) FILTER (value < mu) AS count_below_mean,
+  count(*) FILTER ({_more("value - mu", "1e-9 * abs(mu)")}) AS count_above_mean, count(*) FILTER ({_more("mu - value", "1e-9 * abs(mu)")}) AS count_below_mean,
   avg(CASE WHEN value >= 0 THEN 1.0 ELSE 0.0 END) AS ca, avg(CASE WHEN value <= 0 THEN 1.0 ELSE 0.0 END) AS cb,
   count(*) FILTER (value >= -1 AND value < 1) AS rc, count(*) FILTER (value = 0) AS v0, count(*) FILTER (value = 1) AS v1,
   {", ".join(f"quantile_cont(value, {q}) AS q{i}" for i, q in enumerate(_Q))},
-  {", ".join(f"avg(CASE WHEN abs(value - mu) > {r} * sigma THEN 1.0 ELSE 0.0 END) AS s{i}" for i, r in enumerate((0.5, 1.0, 1.5, 2.0, 2.5, 3.0)))}
+  {", ".join(f"avg(CASE WHEN {_more('abs(value - mu)', f'{r} * sigma')} THEN 1.0 ELSE 0.0 END) AS s{i}" for i, r in enumerate((0.5, 1.0, 1.5, 2.0, 2.5, 3.0)))}
   FROM m GROUP BY 1, 2)
 SELECT example_ts, series, {sql_r6("abs_energy")} AS abs_energy, count_above_mean, count_below_mean, {sql_r6("ca")} AS count_above_t_0_0, {sql_r6("cb")} AS count_below_t_0_0,
   rc AS range_count_min_m1_0_max_1_0, v0 AS value_count_v_0_0, v1 AS value_count_v_1_0,
@@ -185,7 +205,7 @@ SELECT example_ts, series, {sql_r6("abs_energy")} AS abs_energy, count_above_mea
   {sql_r6("CASE WHEN n >= 3 THEN CASE WHEN m2 > 0 THEN sqrt(n * (n - 1)) / (n - 2) * m3 / m2 ** 1.5 ELSE 0 END END")} AS skewness,
   {sql_r6("CASE WHEN n >= 4 THEN CASE WHEN m2 > 0 THEN (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * m4 / (m2 * m2) - 3 * (n - 1)) ELSE 0 END END")} AS kurtosis,
   CAST(m2 > sqrt(m2) AS INT) AS variance_larger_than_standard_deviation,
-  {", ".join(f"CAST(sigma > {r} * (hi - lo) AS INT) AS large_standard_deviation_r_{str(r).replace('.', '_')}, CAST(abs(mu - med) < {r} * (hi - lo) AS INT) AS symmetry_looking_r_{str(r).replace('.', '_')}" for r in (0.05, 0.25, 0.5))}
+  {", ".join(f"CAST({_more('sigma', f'{r} * (hi - lo)')} AS INT) AS large_standard_deviation_r_{str(r).replace('.', '_')}, CAST({_more(f'{r} * (hi - lo)', 'abs(mu - med)')} AS INT) AS symmetry_looking_r_{str(r).replace('.', '_')}" for r in (0.05, 0.25, 0.5))}
 FROM g""")
 def extended_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(catalogue.plain_features(_day_pairs(spark, sf_dir), EXAMPLE))

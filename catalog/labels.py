@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog.base import LOG_SQL, PLANT, TARGET, log, query
 from faultline.operators import encode, labels, windows
-from faultline.params import OK_CODE, Horizon
+from faultline.params import OK_CODE, Horizon, PredictionParams
+from faultline.plans import prediction
 
 HOUR = Horizon(3600, 3600)
 SEED = 100
@@ -136,3 +137,14 @@ def window_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.window_samples(samples, examples, HOUR.rw).select("example_ts", "event_id", "value")
 
 
+
+
+@query(f"""WITH RECURSIVE {LOG_SQL}, {kept_sql(TARGET, 7200)}, {negatives_sql()},
+n AS (SELECT ts, code, row_number() OVER (ORDER BY {draw_sql(SEED, f"'{PLANT}'", "epoch_us(ts)")}, epoch_us(ts)) AS rn FROM neg)
+SELECT '{PLANT}' AS machine_id, make_timestamp(us) AS ts, CAST({TARGET} AS BIGINT) AS code FROM kept
+UNION ALL SELECT '{PLANT}', ts, code FROM n WHERE rn <= (SELECT ceil(count(*) * (1 / 0.4 - 1)) FROM kept)""")
+def prediction_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store holds every positive and far more negatives than the balance of 40 percent allows."""
+    params = PredictionParams(target_code=TARGET, horizon=Horizon(3600, 3600), balance_ratio=0.4, seeds=(SEED,))
+    stored = positives(spark, sf_dir).select("machine_id", "ts", "code").unionByName(negatives(spark, sf_dir).select("machine_id", "ts", "code"))
+    return prediction.stored_for_balance(stored, codes(spark, sf_dir), params).withColumn("code", F.col("code").cast("bigint"))

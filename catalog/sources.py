@@ -162,3 +162,33 @@ def example_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     stores.append_examples(found, path, TARGET, HOUR, True)
     stores.append_examples(found.filter("ts < timestamp_ntz'2024-01-15'"), path, TARGET, HOUR, False)
     return stores.processed_timestamps(stores.stored_examples(spark, path, TARGET, HOUR, True))
+
+
+@query("""WITH e AS (SELECT event_id, event_type, CAST(value AS VARCHAR) AS v, value FROM events)
+SELECT event_id, 'components.c.conditions.logic.errorCode' AS series, CAST(event_id AS DOUBLE) AS num_value, NULL AS str_value FROM e
+UNION ALL SELECT event_id, 'components.c.conditions.logic.message', NULL, 'code ' || event_type FROM e
+UNION ALL SELECT event_id, 'components.c.conditions.logic.status', NULL, event_type FROM e WHERE event_type <> 'view'
+UNION ALL SELECT event_id, 'components.c.events.mode.state', NULL, event_type FROM e
+UNION ALL SELECT event_id, 'components.c.samples.load.value', value, NULL FROM e""")
+def item_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kept field of an item is a series: value, state, code, message and status (null for one type)."""
+    stamp = F.format_string('"timestamp":{"$date":0},"sequence":{"$numberLong":"%d"}', "event_id")
+    status = F.when(F.col("event_type") == "view", F.lit("null")).otherwise(F.format_string('"%s"', "event_type"))
+    text = F.concat(
+        F.lit('{"machineId":"m","components":[{"id":"c","samples":[{"id":"load","value":'), F.col("value").cast("string"), F.lit(","), stamp,
+        F.lit('}],"events":[{"id":"mode","state":"'), F.col("event_type"), F.lit('",'), stamp,
+        F.lit('}],"conditions":[{"id":"logic","errorCode":'), F.col("event_id").cast("string"), F.lit(',"message":"code '), F.col("event_type"),
+        F.lit('","status":'), status, F.lit(","), stamp, F.lit("}]}]}"))
+    records, _ = raw_json.parse_records(table(spark, sf_dir, "events").select("event_id", text.alias("text")))
+    samples = raw_json.field_samples(raw_json.component_items(records, keep=["event_id"]), keep=["event_id"])
+    return samples.select("event_id", "series", "num_value", "str_value")
+
+
+@query("SELECT event_id, event_id % 4 IN (1, 2) AS set_aside FROM events")
+def trailing_text_set_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text or another object after an object's end makes it unusable; braces within strings don't matter."""
+    n = F.col("event_id") % 4
+    text = (F.when(n == 1, F.format_string('{"id":%d} trailing {junk', "event_id")).when(n == 2, F.format_string('{"id":%d} {"id":1}', "event_id"))
+            .when(n == 3, F.format_string('{"id":%d,"name":"a} b \\"} c"}', "event_id")).otherwise(F.format_string('{"id":%d}}', "event_id")))
+    good, bad = raw_json.parse_records(table(spark, sf_dir, "events").select("event_id", text.alias("text")), schema="id bigint, name string")
+    return good.select("event_id", F.lit(False).alias("set_aside")).unionByName(bad.select("event_id", F.lit(True).alias("set_aside")))

@@ -108,20 +108,20 @@ def svm_rbf(train: DataFrame, target: int, seed: int = 0, size: int = 256) -> Fi
     return Fitted(lambda df: inner.apply(to_space.transform(df)))
 
 
-def _svm_landmarks(train: DataFrame, target: int, kernel: Callable, seed: int) -> Fitted:
-    to_space = LandmarkMap.fit(train.filter(F.col("id").isNotNull()), kernel, seed=seed)
+def _svm_landmarks(train: DataFrame, target: int, kernel: Callable, seed: int, landmarks: int) -> Fitted:
+    to_space = LandmarkMap.fit(train.filter(F.col("id").isNotNull()), kernel, landmarks, seed)
     inner = svm_linear(to_space.transform(train), target, seed)
     return Fitted(lambda df: inner.apply(to_space.transform(df)))
 
 
-def svm_poly(train: DataFrame, target: int, seed: int = 0) -> Fitted:
-    """K4: landmark map of the cubic kernel + linear SVM."""
-    return _svm_landmarks(train, target, polynomial(default_gamma(train, _width(train))), seed)
+def svm_poly(train: DataFrame, target: int, seed: int = 0, landmarks: int = 128) -> Fitted:
+    """K4: landmark map of the cubic kernel + linear SVM; ``landmarks`` training rows carry the map."""
+    return _svm_landmarks(train, target, polynomial(default_gamma(train, _width(train))), seed, landmarks)
 
 
-def svm_sigmoid(train: DataFrame, target: int, seed: int = 0) -> Fitted:
-    """K5: landmark map of the tanh kernel + linear SVM."""
-    return _svm_landmarks(train, target, sigmoid(default_gamma(train, _width(train))), seed)
+def svm_sigmoid(train: DataFrame, target: int, seed: int = 0, landmarks: int = 128) -> Fitted:
+    """K5: landmark map of the tanh kernel + linear SVM; ``landmarks`` training rows carry the map."""
+    return _svm_landmarks(train, target, sigmoid(default_gamma(train, _width(train))), seed, landmarks)
 
 
 def easy_ensemble(train: DataFrame, target: int, seed: int = 0, bags: int = 10, rounds: int = 10) -> Fitted:
@@ -152,7 +152,8 @@ CLASSIFIERS: dict[str, Callable[..., Fitted]] = {
 }
 
 
-def fit(name: str, train: DataFrame, target: int, seed: int = 0) -> Fitted:
+def fit(name: str, train: DataFrame, target: int, seed: int = 0, **options) -> Fitted:
+    """The named classifier; ``options`` are its own, as ``size`` of K3 or ``landmarks`` of K4 and K5."""
     if name not in CLASSIFIERS:
         raise ValueError(f"classifier must be one of {sorted(CLASSIFIERS)}")
-    return CLASSIFIERS[name](train, target, seed)
+    return CLASSIFIERS[name](train, target, seed, **options)

@@ -12,8 +12,6 @@ from faultline.functions.names import col, columns_of, is_error_code, pick
 from faultline.operators.cleansing import to_long
 from faultline.operators.timeline import objects_to_text
 
-WIDE_LIMIT = 20_000  # columns a plan can still carry; beyond it use the long or vector form
-
 
 def category_columns(df: DataFrame, target: str | None, exclude: Sequence[str] = ()) -> list[str]:
     """Text columns and every error-code column but the target."""
@@ -34,16 +32,22 @@ def one_hot_long(
 
 
 def levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Distinct values per column: one entry per resulting column."""
+    """Distinct values per column: one entry per resulting column of the wide form, whose plan has to name them all.
+
+    For many levels use ``one_hot_long`` and ``level_names``, which stay tables.
+    """
     found = to_long(df, columns, []).distinct()
-    if found.count() > WIDE_LIMIT:
-        raise ValueError(f"more than {WIDE_LIMIT} indicator columns; use one_hot_long")
     by_column: dict[str, list[str]] = {c: [] for c in columns}
     for row in found.orderBy("column", "value").collect():
         by_column[row["column"]].append(row["value"])
     return by_column
 
 
+def level_names(long: DataFrame, series: str = "series") -> DataFrame:
+    """The categories of the sparse form, a row each."""
+    return long.select(series).distinct()
+
+
 def one_hot(
     df: DataFrame, target: str | None, keys: Sequence[str] = ("machine_id", "ts"), string_nulls: str = "keep"
 ) -> DataFrame:

@@ -12,8 +12,6 @@ from pyspark.sql.functions import pandas_udf
 
 from faultline.operators.ranks import keep_first
 
-MAX_LANDMARKS = 512  # landmark rows and their kernel matrix live on the driver
-
 
 def _mapped(df: DataFrame, apply: Callable[[np.ndarray], np.ndarray], x: str, out: str) -> DataFrame:
     @pandas_udf("array<double>")
@@ -53,7 +51,11 @@ def sigmoid(gamma: float, coef0: float = 0.0) -> Callable[[np.ndarray, np.ndarra
 @dataclass(frozen=True)
 class LandmarkMap:
     """K4, K5: Nystroem map phi(x) = k(x, L) U S^(-1/2) from m landmark rows; negative eigenvalues,
-    which an indefinite kernel can have, are clipped."""
+    which an indefinite kernel can have, are clipped.
+
+    ``m`` is the number of training rows that the map is fitted on. They and their m x m kernel matrix are held
+    by the driver and sent to the tasks.
+    """
 
     landmarks: np.ndarray
     projection: np.ndarray
@@ -61,8 +63,6 @@ class LandmarkMap:
 
     @classmethod
     def fit(cls, df: DataFrame, kernel: Callable, m: int = 128, seed: int = 0, x: str = "x", id_col: str = "id") -> "LandmarkMap":
-        if m > MAX_LANDMARKS:
-            raise ValueError(f"at most {MAX_LANDMARKS} landmarks")
         rows = keep_first(df.select(id_col, x), m, seed, [F.col(id_col)]).select(x).collect()
         points = np.array([r[0] for r in rows], dtype=float)
         values, vectors = np.linalg.eigh(kernel(points, points))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, functions as F
@@ -154,21 +155,23 @@ def frequent_itemsets(windows: DataFrame, support: float) -> DataFrame:
 def association_rules(frequent: DataFrame, confidence: float) -> DataFrame:
     """Every split of a frequent itemset into antecedent and consequent with enough confidence.
 
-    Antecedents are the proper subsets of each itemset, generated per row and looked up by
-    equality; a subset of a frequent set is itself frequent, so none is missing.
+    Consequents grow by one item a level, always by a larger one, so that each is made once. Moving an item from the antecedent
+    to the consequent can only lower the confidence: what fails is not extended, and nothing is missed. Supports of
+    antecedents are looked up by equality; a subset of a frequent set is itself frequent.
     """
-    n = F.size("itemset")
-    masks = F.sequence(F.lit(1), F.expr("shiftleft(1, size(itemset))") - 2)
-    subsets = (
-        frequent.filter(n > 1)
-        .select("error_code", "itemset", "support", F.explode(masks).alias("mask"))
-        .withColumn("antecedent", F.expr("filter(itemset, (x, i) -> (shiftright(mask, i) & 1) = 1)"))
-    )
     base = frequent.select("error_code", F.col("itemset").alias("antecedent"), F.col("support").alias("base"))
-    rules = subsets.join(base, ["error_code", "antecedent"]).withColumn("confidence", F.col("support") / F.col("base"))
-    return rules.filter(F.col("confidence") >= confidence).select(
-        "error_code", "antecedent", F.array_except("itemset", "antecedent").alias("consequent"), "confidence"
-    )
+    made = frequent.filter(F.size("itemset") > 1).select("error_code", "itemset", "support", F.explode("itemset").alias("item")).withColumn("consequent", F.array("item"))
+    found = []
+    while True:
+        split = made.withColumn("antecedent", F.array_except("itemset", "consequent"))
+        looked = split.join(base, ["error_code", "antecedent"]).withColumn("confidence", F.col("support") / F.col("base"))
+        level = settle(looked.filter(F.col("confidence") >= confidence).select("error_code", "itemset", "support", "antecedent", "consequent", "confidence"), "rules")
+        found.append(level.select("error_code", "antecedent", "consequent", "confidence"))
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        larger = F.filter("itemset", lambda x: x > F.element_at("consequent", -1))
+        made = (level.filter(F.size("consequent") < F.size("itemset") - 1).select("error_code", "itemset", "support", "consequent", F.explode(larger).alias("item"))
+                .withColumn("consequent", F.concat("consequent", F.array("item"))))
 
 
 def mine(df: DataFrame, params: MiningParams, keys: Sequence[str] = ("source_file",), ts: str = "ts", slot_seconds: float = SLOT_SECONDS) -> tuple[DataFrame, DataFrame]:

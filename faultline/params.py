@@ -27,7 +27,13 @@ class Horizon:
 
 @dataclasses.dataclass(frozen=True)
 class PredictionParams:
-    """One run of the failure-prediction job."""
+    """One run of the failure-prediction job.
+
+    ``minimal_features`` off adds the extended features of the catalogue. ``stored_per_iteration`` bounds how many examples of a
+    class a run adds to the store for each horizon, ``stored_iterations`` times as many negatives; None means all.
+    ``classifier_options`` go to the classifier, as ("landmarks", 256). With an ``ensemble``, a vote of these
+    classifiers (``voting`` hard or soft) on draws by ``ensemble_seeds`` is evaluated as well.
+    """
 
     target_col: str = "components.cont.conditions.logic.errorCode"
     target_code: int = 351
@@ -39,6 +45,8 @@ class PredictionParams:
     stored_horizons: tuple[Horizon, ...] = (Horizon(),)
     minimal_features: bool = True
     store_examples: bool = False
+    stored_per_iteration: int | None = None
+    stored_iterations: int = 1
     scaler: str = "standard"
     fit_scaler_per_fold: bool = False
     balance_ratio: float = 0.5
@@ -48,8 +56,10 @@ class PredictionParams:
     oversampling: str | None = None
     evaluate_all_data: bool = False
     classifier: str = "random_forest"
+    classifier_options: tuple[tuple[str, Any], ...] = ()
     voting: str = "hard"
-    ensemble: tuple[str, ...] = ("svm_linear_probability",) * 3
+    ensemble: tuple[str, ...] = ()
+    ensemble_seeds: tuple[int, ...] = (0, 1, 2)
 
 
 @dataclasses.dataclass(frozen=True)

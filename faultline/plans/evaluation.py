@@ -43,6 +43,7 @@ def cross_validate(
     oversampling: str | None = None,
     evaluate_all_data: bool = False,
     fit_scaler_per_fold: bool = False,
+    classifier_options: Sequence[tuple[str, object]] = (),
 ) -> DataFrame:
     """M4 with M7 / M8: predictions (seed, fold, id, label, prediction, probability, fit_time, score_time).
 
@@ -63,7 +64,7 @@ def cross_validate(
         if oversampling:
             train = settle(oversample(train, oversampling, target, seed), "train")
         begun = time.monotonic()
-        model = classifiers.fit(classifier, train, target, seed)
+        model = classifiers.fit(classifier, train, target, seed, **dict(classifier_options))
         fitted = time.monotonic()
         answers = settle(model.apply(test), "predictions")
         scored = time.monotonic()

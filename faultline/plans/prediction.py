@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.functions.names import col, columns_of, pick
 from faultline.functions.times import epoch_us
-from faultline.operators import cleansing, encode, features, fill, labels, resample, timeline, windows
+from faultline.operators import catalogue, cleansing, encode, features, fill, labels, resample, timeline, windows
 from faultline.operators.sampling import class_counts
 from faultline.params import Horizon, PredictionParams
 from faultline.plans import evaluation
@@ -17,15 +17,28 @@ from faultline.session import settle
 from faultline.sources import files, raw_json, stores
 
 KEYS = ("machine_id",)
+_SLOTS = 16
 
 
 def extract(spark: SparkSession, paths: str | Sequence[str], machine_id: str, valid: Sequence[str] = timeline.MACHINE_IDS) -> tuple[DataFrame, DataFrame]:
-    """Raw dumps -> (samples of one machine, quarantine): S2-S4, S10, R1-R4, R7."""
-    records, bad = raw_json.parse_records(raw_json.read_fragments(spark, paths))
+    """Raw dumps -> (samples of one machine, quarantine): S2-S4, S10, R1-R4, R7.
+
+    Damaged files go to the quarantine as a whole, with a null text; the others are read.
+    """
+    damaged = settle(raw_json.unreadable_files(spark, paths), "damaged-files")
+    names = {r["source_file"] for r in damaged.select("source_file").collect()}  # a name per damaged file
+    if names:
+        listed = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths)).select("path").collect()
+        paths = [r["path"] for r in listed if r["path"] not in names]
+    if not names or paths:
+        records, bad = raw_json.parse_records(raw_json.read_fragments(spark, paths))
+        bad = bad.select("source_file", "text").unionByName(damaged.select("source_file", F.lit(None).cast("string").alias("text")))
+    else:
+        raise ValueError(f"no readable file; damaged: {sorted(names)}")
     named = records.withColumn("machineId", F.col("record.machineId"))
     own = timeline.single_machine(named, machine_id, "machineId", valid)
     items = raw_json.component_items(own, keep=["source_file"])
-    samples = raw_json.item_samples(items, keep=["source_file"])
+    samples = raw_json.field_samples(items, keep=["source_file"])
     return timeline.latest_wins(samples, ["machine_id", "series", "ts"], "seq", ["source_file"]), bad
 
 
@@ -57,12 +70,12 @@ class WindowInput:
     """What reading windows are cut from, in long form.
 
     ``numbers`` holds (machine_id, ts, series, value); ``present`` one row per category that holds at a
-    time (C14, sparse); ``names`` all categories; ``times`` the rows of the cleansed frame.
+    time (C14, sparse); ``names`` all categories as a table (series); ``times`` the rows of the cleansed frame.
     """
 
     numbers: DataFrame
     present: DataFrame | None
-    names: list[str]
+    names: DataFrame | None
     times: DataFrame
 
 
@@ -73,17 +86,17 @@ def window_input(df: DataFrame, p: PredictionParams) -> WindowInput:
     times = settle(df.select(*pick(KEYS), "ts"), "times")
     categories = encode.category_columns(df, p.target_col, [*KEYS, "ts"])
     if not categories:
-        return WindowInput(long, None, [], times)
+        return WindowInput(long, None, None, times)
     present = settle(encode.one_hot_long(df, categories, [*KEYS, "ts"]).select(*pick(KEYS), "ts", "series"), "categories")
-    names = sorted(f"{c}.{v}" for c, found in encode.levels(df, categories).items() for v in found)
-    return WindowInput(long, present, names, times)
+    return WindowInput(long, present, settle(encode.level_names(present), "category-names"), times)
 
 
-def example_features(given: WindowInput, examples: DataFrame, horizon: Horizon) -> DataFrame:
-    """F10, F11, F13 for a set of examples: long (machine_id, ts, code, window bounds, feature, value).
+def example_features(given: WindowInput, examples: DataFrame, horizon: Horizon, minimal: bool = True) -> DataFrame:
+    """F10-F13 for a set of examples: long (machine_id, ts, code, window bounds, feature, value).
 
-    Numbers are aggregated over the joined samples. Categories need only counts: how many rows
-    the window has and in how many of them the category holds.
+    Numbers are aggregated over the joined samples; the extended features (F12), unless ``minimal``, come from the same
+    samples. Categories need only counts: how many rows the window has and in how many of them the category holds.
+    Every window gets every category; the names are dealt to the windows by an equi-join on hash slots.
     """
     bounded = windows.with_windows(examples, horizon)
     by = [*KEYS, "example_ts", "code", "window_start", "window_end", "window_length"]
@@ -92,10 +105,17 @@ def example_features(given: WindowInput, examples: DataFrame, horizon: Horizon)
     if given.present is not None:
         rows = windows.samples_used(given.times, bounded, horizon.rw)
         ones = windows.window_samples(given.present, bounded, horizon.rw).groupBy(*pick(by), "series").agg(F.count(F.lit(1)).alias("ones"))
-        every = rows.withColumn("series", F.explode(F.array(*[F.lit(n) for n in given.names])))
+        slots = F.explode(F.sequence(F.lit(0), F.lit(_SLOTS - 1)))
+        every = rows.withColumn("__slot", slots).join(given.names.withColumn("__slot", F.pmod(F.xxhash64("series"), F.lit(_SLOTS)).cast("int")), "__slot").drop("__slot")
         counts = every.join(ones, [*by, "series"], "left").withColumnRenamed("samples_used", "n")
         made = made.unionByName(features.indicator_features(counts))
-    return features.features_long(made, [*by, "series"]).withColumnRenamed("example_ts", "ts")
+    long = features.features_long(made, [*by, "series"])
+    if not minimal:
+        more = catalogue.efficient_features(settle(pairs, "window-samples"), [*by, "series"])
+        names = [c for c in more.columns if c not in (*by, "series", *features.MINIMAL)]
+        cells = F.explode(F.array(*[F.struct(F.concat_ws("__", "series", F.lit(n)).alias("feature"), col(n).cast("double").alias("value")) for n in names]))
+        long = long.unionByName(more.select(*pick(by), cells.alias("c")).select(*pick(by), "c.*").filter("value IS NOT NULL AND NOT isnan(value)").select(long.columns))
+    return long.withColumnRenamed("example_ts", "ts")
 
 
 def examples_for(codes: DataFrame, p: PredictionParams, store: DataFrame | None = None) -> DataFrame:
@@ -114,8 +134,12 @@ def examples_for(codes: DataFrame, p: PredictionParams, store: DataFrame | None
     return fresh.select(*pick(columns)).unionByName(drawn.select(*pick(columns)))
 
 
-def store_examples(given: WindowInput, codes: DataFrame, p: PredictionParams, path: str, per_iteration: int = 500, iterations: int = 1) -> None:
-    """features of up to ``per_iteration`` positives, and as many negatives per iteration, for every stored horizon."""
+def store_examples(given: WindowInput, codes: DataFrame, p: PredictionParams, path: str) -> None:
+    """features of the positives that the store lacks, and of as many negatives per iteration, for every stored horizon.
+
+    ``p.stored_per_iteration`` bounds the examples of a class; without it all positives are stored, and negatives
+    to the balance of the run.
+    """
     for horizon in p.stored_horizons:
         for positive in (True, False):
             if positive:
@@ -125,19 +149,38 @@ def store_examples(given: WindowInput, codes: DataFrame, p: PredictionParams, pa
             done = stores.stored_examples(codes.sparkSession, path, p.target_code, horizon, positive)
             if done is not None:
                 found = labels.not_processed(found, done, [*KEYS, "ts"])
-            wanted = per_iteration * (1 if positive else iterations)
-            drawn = labels.sample_examples(found, wanted, p.seeds[0])
-            made = example_features(given, drawn.select(*pick(KEYS), "ts", "code"), horizon)
+            if p.stored_per_iteration is not None:
+                drawn = labels.sample_examples(found, p.stored_per_iteration * (1 if positive else p.stored_iterations), p.seeds[0])
+            elif positive:
+                drawn = found
+            else:
+                positives = labels.positive_examples(codes, p.target_code, horizon)
+                drawn = labels.sample_examples(found, p.stored_iterations * labels.negatives_needed(positives.count(), p.balance_ratio), p.seeds[0])
+            made = example_features(given, drawn.select(*pick(KEYS), "ts", "code"), horizon, p.minimal_features)
             stores.append_examples(made, path, p.target_code, horizon, positive)
 
 
+def stored_for_balance(stored: DataFrame, codes: DataFrame, p: PredictionParams) -> DataFrame:
+    """F16: of the store all positives, and of its negatives no more than the balance of the run needs, drawn by the seed."""
+    hit = F.col("code") == F.lit(p.target_code)
+    needed = labels.negatives_needed(labels.positive_examples(codes, p.target_code, p.horizon).count(), p.balance_ratio)
+    chosen = labels.sample_examples(stored.filter(~hit).select(*pick(KEYS), "ts").distinct(), needed, p.seeds[0])
+    return stored.filter(hit).unionByName(stored.filter(~hit).join(chosen, [*KEYS, "ts"], "left_semi").select(stored.columns))
+
+
+def incomplete_examples(long: DataFrame) -> DataFrame:
+    """Examples that lack a feature and therefore stay out of :func:`matrix`, with the number they have."""
+    width = settle(features.feature_index(long), "feature-index").count()
+    return long.groupBy(*pick([*KEYS, "ts", "code"])).agg(F.count_distinct("feature").alias("n_features")).filter(F.col("n_features") < width)
+
+
 def matrix(long: DataFrame, p: PredictionParams) -> DataFrame:
-    """Standardised features without count-like ones, as (id, label, x).
+    """Features scaled by ``p.scaler``, without count-like ones, as (id, label, x).
 
-    An example that lacks a feature is left out, as rows with missing values are.
+    An example that lacks a feature is left out, as rows with missing values are (:func:`incomplete_examples` lists them).
     """
     kept = settle(features.drop_count_features(long), "features")
-    scaled = features.standardise_long(kept) if p.scaler == "standard" and not p.fit_scaler_per_fold else kept
+    scaled = kept if p.fit_scaler_per_fold else features.scale_long(kept, p.scaler)
     index = settle(features.feature_index(kept), "feature-index")
     width = index.count()
     by = [*KEYS, "ts", "code"]
@@ -149,7 +192,7 @@ def matrix(long: DataFrame, p: PredictionParams) -> DataFrame:
 
 
 def run(frame: DataFrame, p: PredictionParams, results_path: str | None = None, store_path: str | None = None) -> DataFrame:
-    """C1-C15, F1-F19, M1-M8 on a global frame: a summary row per seed."""
+    """C1-C15, F1-F19, M1-M10 on a global frame: a summary row per seed; with an ensemble also one for its vote and each member."""
     codes = settle(labels.code_series(frame, p.target_col).filter(F.col("code").isNotNull()), "codes")
     given = window_input(cleanse(frame, p), p)
     stored = None
@@ -158,7 +201,9 @@ def run(frame: DataFrame, p: PredictionParams, results_path: str | None = None,
     if store_path:
         held = [s for s in (stores.stored_examples(frame.sparkSession, store_path, p.target_code, p.horizon, kind) for kind in (True, False)) if s is not None]
         stored = held[0].unionByName(held[1]) if held else None
-    long = example_features(given, examples_for(codes, p, stored), p.horizon)
+    if stored is not None:
+        stored = settle(stored_for_balance(stored, codes, p), "stored")
+    long = example_features(given, examples_for(codes, p, stored), p.horizon, p.minimal_features)
     if stored is not None:
         long = long.unionByName(stored.select(*pick(long.columns)))
     rows = settle(matrix(long, p), "matrix")
@@ -167,7 +212,11 @@ def run(frame: DataFrame, p: PredictionParams, results_path: str | None = None,
         raise ValueError(f"both classes are needed, got {counts}")
     summary = evaluation.evaluate(rows, p.target_code, p.classifier, p.sampling_percentage, p.seeds, p.folds,
                                   oversampling=p.oversampling, evaluate_all_data=p.evaluate_all_data,
-                                  fit_scaler_per_fold=p.fit_scaler_per_fold)
+                                  fit_scaler_per_fold=p.fit_scaler_per_fold, classifier_options=p.classifier_options)
+    if p.ensemble:
+        voted, single = evaluation.evaluate_ensemble(rows, p.target_code, p.ensemble, p.ensemble_seeds, p.folds, p.voting)
+        voted = voted.withColumn("member", F.lit(f"{p.voting} vote"))
+        summary = settle(summary.unionByName(voted.unionByName(single, allowMissingColumns=True), allowMissingColumns=True), "summary")
     if results_path:
         stores.append_results(summary, results_path, target_code=p.target_code, pw=p.horizon.pw, rw=p.horizon.rw,
                               classifier=p.classifier, oversampling=str(p.oversampling), balance_ratio=p.balance_ratio,

@@ -56,15 +56,60 @@ def split_objects(df: DataFrame, text: str, out: str = "text") -> DataFrame:
     return exploded.select(*pick(rest), "position", repair_escapes(F.col("__part")).alias(out))
 
 
+# A closing brace is followed by a comma, another closing sign or the end; whatever else stands there belongs to no object.
+_STRINGS = r'"(?:[^"\\]++|\\.)*+"'
+_AFTER_BRACE = r"\}\s*[^\s,\]\}]"
+
+
+def trailing_text(text: Column) -> Column:
+    """Whether something follows an object's closing brace outside of strings, which the parser would ignore."""
+    return F.regexp_replace(text, _STRINGS, "").rlike(_AFTER_BRACE)
+
+
+def unreadable_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """S10 for whole files: (source_file, reason) of gzip files that end early or are damaged.
+
+    One task reads a file (up to 2 GB compressed) and inflates it in pieces without keeping the text.
+    """
+    import pandas as pd
+
+    def inspect(batches):
+        import zlib
+
+        for batch in batches:
+            out = []
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                reason, rest = None, content
+                try:
+                    while rest and rest[:2] == b"\x1f\x8b":  # a file may hold several members
+                        member = zlib.decompressobj(31)
+                        left = rest
+                        while left and not member.eof:
+                            member.decompress(left, 1 << 20)
+                            left = member.unconsumed_tail
+                        if not member.eof:
+                            reason = "the file ends early"
+                            break
+                        rest = member.unused_data
+                except zlib.error as error:
+                    reason = str(error)
+                if reason:
+                    out.append((name, reason))
+            yield pd.DataFrame(out, columns=["source_file", "reason"])
+
+    files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
+    return files.select("path", "content").mapInPandas(inspect, "source_file string, reason string")
+
+
 def parse_records(df: DataFrame, text: str = "text", schema: str = RECORD_SCHEMA) -> tuple[DataFrame, DataFrame]:
-    """S2 + S10: (records, quarantine). An object that does not parse does not stop the others.
+    """S2 + S10: (records, quarantine). An object that does not parse, or that other text follows, does not stop the others.
 
     The parsed value passes through a one-element explode: the optimizer would otherwise copy the parser
     into the filter and into every field access and parse each text many times.
     """
     value = F.from_json(col(text), f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})
     parsed = df.select("*", F.explode(F.array(value)).alias("record"))
-    bad = F.col(f"record.{CORRUPT}").isNotNull() | F.col("record").isNull()
+    bad = F.col(f"record.{CORRUPT}").isNotNull() | F.col("record").isNull() | trailing_text(col(text))
     return parsed.filter(~bad).drop(text), parsed.filter(bad).select(*pick(df.columns))
 
 
@@ -141,8 +186,23 @@ def series_name(field: Column) -> Column:
     return F.concat_ws(".", F.lit("components"), F.col("component_id"), category, F.col("item_id"), field)
 
 
+def field_samples(items: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """R2 with every field that the name groups keep as a series of its own: the value, code or state of an item, and a
+    condition's message and status. Fields without a value fall out."""
+    nothing = F.lit(None).cast("string")
+    number = F.when(F.col("category") == "samples", "value").when(F.col("category") == "conditions", "errorCode")
+    cells = F.array(
+        F.struct(number.alias("field"), F.col("num_value").alias("num"), nothing.alias("text")),
+        *[F.struct(F.lit(name).alias("field"), F.lit(None).cast("double").alias("num"), F.col(source).alias("text"))
+          for name, source in (("state", "str_value"), ("message", "message"), ("status", "status"))])
+    used = F.filter(cells, lambda c: c["num"].isNotNull() | c["text"].isNotNull())
+    rows = items.select("*", F.explode(used).alias("__cell"))
+    return rows.select(*pick(keep), "machine_id", series_name(F.col("__cell.field")).alias("series"), "ts", "seq",
+                       F.col("__cell.num").alias("num_value"), F.col("__cell.text").alias("str_value"))
+
+
 def item_samples(items: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """R2 names on long rows: (machine_id, series, ts, seq, num_value, str_value)."""
+    """R2 names on long rows, with the main field of each item: (machine_id, series, ts, seq, num_value, str_value)."""
     main = F.when(F.col("category") == "samples", "value").when(F.col("category") == "conditions", "errorCode").otherwise("state")
     return items.select(*pick(keep), "machine_id", series_name(main).alias("series"), "ts", "seq", "num_value", "str_value")
 

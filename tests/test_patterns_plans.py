@@ -7,6 +7,7 @@ import gzip
 import itertools
 import json
 import math
+import pathlib
 import random
 
 import pytest
@@ -143,7 +144,7 @@ def test_cleansing_chain(spark):
     assert "components.c.events.x.state" not in clean.columns  # constant
     assert clean.filter(F.col("`components.c.samples.load.value`").isNull()).count() == 0
     given = prediction.window_input(clean, p)
-    assert given.names == [f"components.path1.events.exec.state.{s}" for s in ("ACTIVE", "READY", "STOPPED")]
+    assert sorted(r["series"] for r in given.names.collect()) == [f"components.path1.events.exec.state.{s}" for s in ("ACTIVE", "READY", "STOPPED")]
     assert given.present.count() == clean.count()
 
 
@@ -166,3 +167,108 @@ def test_from_raw_dumps_to_the_global_frame(spark, tmp_path):
     assert bad.count() == 0
     assert [(r["ts"], r["components.c.samples.load.value"], r["components.c.events.exec.state"]) for r in frame] == [
         (at(0), 1.0, "READY"), (at(10), 3.0, None), (at(20), 4.0, "ACTIVE")]
+
+
+def test_rules_of_many_items_equal_a_plain_loop(spark):
+    """35 items in one itemset and confidences that fall as consequents grow."""
+    items = list(range(100, 135))
+    rows = [(1, items, 5)] + [(1, [i], 5 if i % 7 == 0 else 1000) for i in items]
+    rows += [(1, [i for i in items if i != j], 5) for j in items] + [(1, items[:2], 5), (1, [100, 107], 5), (2, [1], 9), (2, [2], 4), (2, [1, 2], 4)]
+    frequent = spark.createDataFrame(rows, "error_code bigint, itemset array<int>, support bigint")
+    support = {(c, tuple(s)): n for c, s, n in rows}
+    expected = set()
+    for code, whole, n in rows:
+        for item in whole if len(whole) > 1 else []:
+            left = tuple(x for x in whole if x != item)
+            if (code, left) in support and n / support[code, left] >= 0.5:
+                expected.add((code, left, (item,), n / support[code, left]))
+    got = {(r["error_code"], tuple(r["antecedent"]), tuple(r["consequent"]), r["confidence"]) for r in patterns.association_rules(frequent, 0.5).collect()}
+    assert got == expected and any(len(a) == 34 for _, a, _, _ in got)
+
+
+def test_every_option_of_the_job_counts(spark, tmp_path):
+    """Scaler, extended features, classifier options, ensemble and store bounds change what a run gives."""
+    frame = machine_log(spark, 40)
+    base = dict(sampling_seconds=60, folds=2, classifier="svm_linear")
+    p = PredictionParams(**base)
+    codes = prediction.labels.code_series(frame, p.target_col).filter(F.col("code").isNotNull())
+    given = prediction.window_input(prediction.cleanse(frame, p), p)
+    examples = prediction.examples_for(codes, p)
+    small = prediction.settle(prediction.example_features(given, examples, p.horizon), "small")
+    large = prediction.settle(prediction.example_features(given, examples, p.horizon, minimal=False), "large")
+    names = lambda df: {r["feature"] for r in df.select("feature").distinct().collect()}
+    assert names(small) < names(large) and len(names(large)) > len(names(small)) + 50
+    by_scaler = {}
+    for scaler in ("standard", "min_max", "robust", "max_abs"):
+        rows = prediction.matrix(small, PredictionParams(scaler=scaler, **base)).orderBy("id").collect()
+        by_scaler[scaler] = [tuple(r["x"]) for r in rows]
+    assert len({tuple(v) for v in by_scaler.values()}) == 4
+    assert all(-1e-9 <= x <= 1 + 1e-9 for r in by_scaler["min_max"] for x in r)
+    with pytest.raises(ValueError):
+        prediction.matrix(small, PredictionParams(scaler="no such", **base))
+    for bound, expected in ((3, 6), (None, 20)):
+        path = f"{tmp_path}/store-{bound}"
+        prediction.store_examples(given, codes, PredictionParams(stored_per_iteration=bound, store_examples=True, **base), path)
+        kinds = [prediction.stores.stored_examples(spark, path, p.target_code, p.horizon, k) for k in (True, False)]
+        assert sum(k.select("ts").distinct().count() for k in kinds) == expected
+    voted = prediction.run(frame, PredictionParams(ensemble=("svm_linear", "logistic"), ensemble_seeds=(1, 2), **base)).collect()
+    assert sorted(r["member"] or "" for r in voted) == ["", "clf_0", "clf_1", "hard vote"]
+
+
+def test_stored_negatives_are_drawn_to_the_balance(spark):
+    p = PredictionParams(balance_ratio=0.5, horizon=Horizon(60, 60))
+    codes = spark.createDataFrame([("m", at(i * 1000), 351.0) for i in range(10)] + [("m", at(i * 1000 + 500), 17.0) for i in range(10)], "machine_id string, ts timestamp_ntz, code double")
+    stored = spark.createDataFrame([("m", at(i * 1000), 351, "f", 1.0) for i in range(10)] + [("m", at(i * 20 + 1), 17, f, 2.0) for i in range(400) for f in ("f", "g")],
+                                   "machine_id string, ts timestamp_ntz, code int, feature string, value double")
+    kept = prediction.stored_for_balance(stored, codes, p).collect()
+    assert sum(r["code"] == 351 for r in kept) == 10
+    assert len({r["ts"] for r in kept if r["code"] != 351}) == 10 and len(kept) == 30
+
+
+def test_many_categories_stay_a_table(spark):
+    """25,000 categories: their names are joined to the windows, never collected or written into a plan."""
+    df = spark.range(25_000).select(F.lit("m").alias("machine_id"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"),
+                                    F.concat(F.lit("s"), "id").alias("state"), F.lit(17.0).alias("code"))
+    p = PredictionParams(target_col="code")
+    given = prediction.window_input(df, p)
+    assert given.names.count() == 25_000
+    examples = df.filter("state = 's200'").select("machine_id", "ts", F.lit(351).alias("code"))
+    long = prediction.example_features(given, examples, p.horizon)
+    assert long.filter("feature like 'state.s%__mean'").count() == 25_000
+    assert long.filter("feature like 'state.s%__maximum' AND value = 1").count() == 61
+
+
+def test_damaged_dumps_are_set_aside(spark, tmp_path):
+    stamp = {"timestamp": {"$date": 0}, "sequence": {"$numberLong": "1"}}
+    record = lambda v: json.dumps({"machineId": "Integrex", "components": [{"id": "c", "samples": [{"id": "load", "value": v, **stamp}], "conditions": [
+        {"id": "l", "errorCode": 5, "message": "worn", "status": "open", **stamp}]}]})
+    for name, text in (("a.gz", record(1.0) + record(2.0)), ("b.gz", record(3.0) * 200), ("c.gz", record(4.0) + " trailing")):
+        data = gzip.compress(text.encode())
+        (tmp_path / name).write_bytes(data[: len(data) // 2] if name == "b.gz" else data)
+    samples, bad = prediction.extract(spark, str(tmp_path), "Integrex")
+    series = {r["series"]: (r["num_value"], r["str_value"]) for r in samples.collect()}
+    assert series["components.c.conditions.l.message"] == (None, "worn") and series["components.c.conditions.l.status"] == (None, "open")
+    assert series["components.c.samples.load.value"][0] in (1.0, 2.0)
+    assert sorted((r["source_file"].rsplit("/", 1)[1], r["text"] is None) for r in bad.collect()) == [("b.gz", True), ("c.gz", False)]
+
+
+def test_shared_folder_and_settled_tables(spark, tmp_path, monkeypatch):
+    from faultline import session
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Remote:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Remote())
+    Remote.conf["spark.checkpoint.dir"] = "hdfs://x/y/"
+    assert session.shared_dir(Remote()) == "hdfs://x/y"
+    with session.settled_tables():
+        df = session.settle(spark.range(5), "five")
+        assert df.count() == 5
+        path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert pathlib.Path(path).exists()
+    assert not pathlib.Path(path).exists()
