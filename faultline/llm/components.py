@@ -1,8 +1,9 @@
 """Connected components of a table of links, by alternating large-star and small-star rounds.
 
-Every task first contracts runs of its own links, so that a dense group costs each task a star. The rounds then join
-links with the smallest neighbour of each node until every component is a star around its smallest node. Nothing is
-collected; each round is a table in the shared folder.
+Every task first contracts runs of its own links to stars, so that a dense group costs each task a star, and links are
+gathered into as many tasks as they fill runs until that no longer makes them fewer. When they fit one run, that is the result;
+otherwise rounds join links with the smallest neighbour of each node until every component is a star around its
+smallest node. Nothing is collected; each round is a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -63,8 +64,16 @@ def components(links: DataFrame) -> DataFrame:
     u, v = links.columns[:2]
     given = links.select(F.col(u).alias("node"), F.col(v).alias("root")).filter("node IS NOT NULL AND root IS NOT NULL")
     edges = settle(_contracted(given.filter("node <> root")), "links")
+    n, fits = edges.count(), False
+    while not fits:
+        runs = -(-max(n, 1) // RUN_LINKS)
+        edges = settle(_contracted(edges.coalesce(runs)), "links")
+        fewer, fits = edges.count(), runs == 1
+        if not fits and fewer > 0.7 * n:
+            break
+        n = fewer
     before = None
-    while True:
+    while not fits:
         both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = settle(both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("least")), "least")
         # large star: larger neighbours of a node move to its smallest neighbour

@@ -11,9 +11,10 @@ Segments with at most one shingle are weak: common shingles meet in them. A band
 no more weak ones than spares leaves them out without losing a pair; a set with more keeps all of them.
 
 Equal sets are one node, named by a 64-bit hash of the set, from the start. Of each group with a common segment, every
-node is compared with one pivot, then, after components are built, with nodes of other components of the group, so a group of
-copies costs links in proportion to its members. Within a task groups are cut down before the shuffle; a common
-segment of a third of all documents sends one row per task.
+node is first compared with one pivot, so a group of copies costs links in proportion to its members. Groups that hang
+together but fall into several components are then searched whole: their nodes' sketches are compared in blocks inside
+tasks, across components only, and pairs whose Hamming distance allows the similarity are verified. Within a task groups are
+cut down before the shuffle; a common segment of a third of all documents sends one row per task.
 
 Nulls and texts without words have the empty set and link with nothing; texts of fewer words than a shingle are one
 shingle. Repeated rows are equal sets. A null id takes part, but can't name a component. An empty table gives an
@@ -22,12 +23,13 @@ empty result. Further columns are not read.
 
 from __future__ import annotations
 
+import contextlib
 import math
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from faultline.llm import lexing
 from faultline.llm.components import components
@@ -36,11 +38,12 @@ from faultline.session import settle
 SHINGLE = 4
 PERCENT = 85
 RUN_KEYS = 1 << 20
+BLOCK_BYTES = 1 << 16
 _BITS = 4096
 _ALL = (1 << 64) - 1
 _KEYS = "deal long, key long, node long, pivot long"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_CANDIDATES = "key long, a long, b long"
+_CANDIDATES = "a long, b long"
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -133,17 +136,21 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def nodes(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``node`` (null for the empty set)."""
+    """``doc_id``, ``text_hash``, ``n_shingles`` and ``node`` (null for the empty set)."""
 
     def run(batches):
         for batch, lo, hi, data, offsets in lexing.batch_blocks(batches):
             sets = shingle_hashes(data, offsets, width)
+            part = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
+                [part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "text_hash", "n_shingles", "node"])
+
+    return _identified(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long")
+
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
 def _task_groups(keys: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
@@ -165,7 +172,7 @@ def _task_groups(keys: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
 
 
 def candidates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``key``, ``a`` and ``b``: nodes ``b`` that share a segment with the pivot ``a`` of its group."""
+    """``a`` and ``b``: nodes ``b`` that share a segment with the pivot ``a`` of its group."""
 
     def emit(batches):
         held, n, seen = [], 0, set()
@@ -195,7 +202,7 @@ def candidates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) ->
             key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
             given = batch.column("pivot")
             is_head = given.is_null().to_numpy(zero_copy_only=False)
-            a, b, k = given.fill_null(0).to_numpy()[~is_head], node[~is_head], key[~is_head]
+            a, b = given.fill_null(0).to_numpy()[~is_head], node[~is_head]
             key, node = key[is_head], node[is_head]
             if last_key is not None:
                 key, node = np.append(last_key, key), np.append(last_pivot, node)
@@ -206,22 +213,25 @@ def candidates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) ->
                 again = np.zeros(len(key), bool)
                 again[1:] = ~head[1:] & (node[1:] == node[:-1])
                 hit = ~head & ~again & (node != pivot)
-                a, b, k = np.append(a, pivot[hit]), np.append(b, node[hit]), np.append(k, key[hit])
+                a, b = np.append(a, pivot[hit]), np.append(b, node[hit])
                 last_key, last_pivot = key[-1], pivot[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(a), pa.array(b)], names=["key", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     dealt = docs.select("text").mapInArrow(emit, _KEYS).repartition("deal").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(pair, _CANDIDATES)
 
 
 def _representatives(named: DataFrame) -> DataFrame:
-    return named.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    """For each node the row with its smallest id: ``node``, ``doc_id``, ``text_hash``."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    return named.filter("node IS NOT NULL").groupBy("node").agg(first).select("node", "first.doc_id", "first.text_hash")
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``node`` and ``shingles`` (sorted 64-bit hashes as bytes) of the documents in ``wanted`` (node, doc_id)."""
-    asked = wanted.select("node", F.col("doc_id").alias("wanted_id"))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("node", "text")
+    """``node`` and ``shingles`` (sorted 64-bit hashes as bytes) of the rows in ``wanted`` (node, doc_id, text_hash)."""
+    asked = wanted.select("node", F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash"))
+    row = (F.col("text_hash") == F.col("wanted_hash")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
+    source = _identified(docs).join(asked, row).select("node", "text")
 
     def run(batches):
         for batch, lo, hi, data, offsets in lexing.batch_blocks(batches):
@@ -232,10 +242,19 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return source.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def _verified(docs: DataFrame, representatives: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession, rows: int):
+    """Rows that hold whole sets or blocks go to Python few at a time."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) that reach the similarity."""
-    wanted = settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(representatives, "node"), "wanted")
-    sets = settle(_with_sets(docs, wanted, width), "sets")
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in ("a", "b"))
 
     def run(batches):
@@ -244,63 +263,75 @@ def _verified(docs: DataFrame, representatives: DataFrame, pairs: DataFrame, wid
             hit = [similar(x, y, percent) for x, y in zip(a, b, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    spark = docs.sparkSession
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, "256")  # two sets a row: long texts have large ones
-    try:
+    with _small_batches(pairs.sparkSession, 256):
         return settle(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "verified")
-    finally:
-        spark.conf.set(_BATCH, before)
 
 
-def _possible(pairs: DataFrame, representatives: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs whose sizes allow the similarity, the smaller node first."""
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sizes = representatives.select("node", "n")
-    both = (ordered.join(sizes.withColumnsRenamed({"node": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "n_b"}), "b"))
-    return both.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
+def _sketch(shingles: np.ndarray, bits: int) -> bytes:
+    """One bit per shingle at a hashed place; equal bits cancel."""
+    places = (lexing.mix(shingles + np.uint64(0xE7037ED1A0B428DB)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _rest(found: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of different components within the groups of ``found``, other than those with the pivot."""
-    members = found.select("key", F.col("b").alias("node")).union(found.select("key", "a")).distinct()
-    rooted = settle(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).filter("least <> most AND n > 2").select("key")
-    open_groups = rooted.join(settle(mixed, "mixed"), "key").repartition("key").sortWithinPartitions("key", "root", "node")
+def _across(found: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components of ``roots`` within the groups that the pairs of ``found`` hold together, as far as
+    their sketches allow the similarity. Sketches have four bits or more a shingle of the group's largest set."""
+    groups = components(found.select("a", "b")).select("node", F.col("root").alias("part"))
+    rooted = settle(groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+    several = rooted.groupBy("part").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).filter("n > 2 AND least <> most")
+    open_members = rooted.join(settle(several.select("part", "n"), "several"), "part").join(sets, "node").withColumn("size", F.length("shingles") / 8)
+    open_members = settle(open_members.select("part", "node", "root", "size", "shingles"), "open-members")
+    scale = open_members.groupBy("part").agg(F.count("*").alias("n"), F.max("size").alias("largest"))
+    bits = F.least(F.greatest(F.pow(2.0, F.ceil(F.log2(4 * F.col("largest")))), F.lit(1024.0)), F.lit(65536.0)).cast("int")
+    scale = settle(scale.select("part", bits.alias("bits"), F.ceil(F.col("n") * bits / (8 * BLOCK_BYTES)).alias("n_blocks")), "scale")
 
-    def run(batches):
-        """Each member with those before it in its group that have another root, in blocks."""
-        group, key = [], None
+    def sketch(batches):
+        for batch in batches:
+            bits_, raw = batch.column("bits").to_pylist(), batch.column("shingles").to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("part", "block", "node", "root", "size")), pa.array([_sketch(np.frombuffer(x, np.uint64), n) for x, n in zip(raw, bits_, strict=True)], pa.binary())],
+                names=["part", "block", "node", "root", "size", "sketch"])
+
+    with_block = open_members.join(scale, "part").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
+    with _small_batches(found.sparkSession, 1000):
+        sketched = settle(with_block.select("part", "block", "node", "root", F.col("size").cast("long").alias("size"), "bits", "shingles")
+                          .mapInArrow(sketch, "part long, block long, node long, root long, size long, sketch binary"), "sketches")
+    blocks = settle(sketched.groupBy("part", "block").agg(F.collect_list(F.struct("node", "root", "size", "sketch")).alias("held")), "blocks")
+
+    def unpack(held) -> tuple[np.ndarray, ...]:
+        node, root, size = (np.array([h[c] for h in held], np.int64) for c in ("node", "root", "size"))
+        return node, root, size, np.frombuffer(b"".join(h["sketch"] for h in held), np.uint64).reshape(len(held), -1)
+
+    def compare(batches):
         for batch in batches:
-            keys, nodes_, roots_ = (batch.column(c).to_numpy() for c in ("key", "node", "root"))
-            a, b = [], []
-            for k, node, root in zip(keys.tolist(), nodes_.tolist(), roots_.tolist(), strict=True):
-                if k != key:
-                    key, group = k, []
-                others = [n for n, r in group if r != root]
-                group.append((node, root))
-                a += others
-                b += [node] * len(others)
-                if len(a) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                    a, b = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return open_groups.select("key", "node", "root").mapInArrow(run, "a long, b long")
+            for row in batch.to_pylist():
+                one, other = unpack(row["held"]), unpack(row["other"])
+                for node, root, size, bits_ in zip(*one, strict=True):
+                    most = (100 - percent) * (size + other[2]) // (100 + percent)
+                    hit = (other[1] != root) & (np.bitwise_count(other[3] ^ bits_).sum(axis=1) <= most)
+                    hit &= other[0] > node if row["same"] else other[0] != node
+                    if hit.any():
+                        b = other[0][hit]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b, node)), pa.array(np.maximum(b, node))], names=["a", "b"])
+
+    others = blocks.select("part", F.col("block").alias("other_block"), F.col("held").alias("other"))
+    both = blocks.join(others, "part").filter("block <= other_block").select("held", "other", (F.col("block") == F.col("other_block")).alias("same"))
+    with _small_batches(found.sparkSession, 8):
+        return settle(both.mapInArrow(compare, "a long, b long"), "near-pairs")
 
 
 def _groups(source: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows with their set (``doc_id``, ``n_shingles``, ``node``), and sets with their component (``node``, ``doc_id``, ``root``)."""
     named = settle(nodes(source, width), "sets-by-document")
     representatives = settle(_representatives(named), "representatives")
-    found = settle(candidates(source, width, percent), "candidates")
-    tried = settle(_possible(found.select("a", "b"), representatives, percent), "pairs")
-    links = _verified(source, representatives, tried, width, percent)
+    found = settle(candidates(source, width, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    wanted = settle(found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(representatives, "node"), "wanted")
+    sets = settle(_with_sets(source, wanted, width), "sets")
+    links = _verified(found, sets, percent)
     roots = settle(components(links), "roots")
-    rest = settle(_possible(_rest(found, roots), representatives, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    rest = _across(found, roots, sets, percent)
     if not rest.isEmpty():
-        more = _verified(source, representatives, rest, width, percent)
-        roots = settle(components(links.unionByName(more)), "roots")
+        roots = settle(components(links.unionByName(_verified(rest, sets, percent))), "roots")
     rooted = representatives.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     return named, settle(rooted, "rooted")
 
