@@ -38,12 +38,12 @@ def not_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.undersample(examples(spark, sf_dir), TARGET, SHARE, SEED, ["id"])[1].select("id", "label")
 
 
-def _fold_sql(order: str) -> str:
+def _fold_sql(order: str, folds: int = FOLDS) -> str:
     """Sorted by class (first appearance first), position p would go to fold p mod k: gives each fold's size per class;
     the class's rows then fill the folds one after the other."""
     return f"""WITH {_ROWS}, c AS (SELECT label, count(*) AS n, min(id) AS head FROM rows GROUP BY 1),
 s AS (SELECT label, n, coalesce(sum(n) OVER (ORDER BY head ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM c),
-p AS (SELECT label, (start + i) % {FOLDS} AS fold, count(*) AS size FROM s, LATERAL (SELECT unnest(range(n)) AS i) GROUP BY 1, 2),
+p AS (SELECT label, (start + i) % {folds} AS fold, count(*) AS size FROM s, LATERAL (SELECT unnest(range(n)) AS i) GROUP BY 1, 2),
 b AS (SELECT label, fold, sum(size) OVER (PARTITION BY label ORDER BY fold) AS upto, sum(size) OVER (PARTITION BY label ORDER BY fold) - size AS since FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {order}) - 1 AS rn FROM rows)
 SELECT r.id, r.label, CAST(b.fold AS INT) AS fold FROM r JOIN b ON b.label = r.label AND r.rn >= b.since AND r.rn < b.upto"""
@@ -124,31 +124,52 @@ def soft_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _voted(spark, sf_dir, "soft")
 
 
+def _drawn_sql(share: float, folds: int) -> str:
+    """Rows of a draw with the given share of positives, and their fold."""
+    limit = f"(SELECT ceil(count(*) / {share} - count(*)) FROM every WHERE label = {TARGET})"
+    return _fold_sql(draw_sql(42, "id") + ", id", folds).replace(
+        _ROWS, f"every AS ({_ROWS.removeprefix('rows AS (').removesuffix(')')}), ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {draw_sql(SEED, 'id')}, id) AS place FROM every), "
+        f"rows AS (SELECT id, label FROM ranked WHERE label = {TARGET} OR place <= {limit})")
+
+
+def _fold_sizes_sql(share: float, folds: int, all_data: bool = False) -> str:
+    """What is sure about scores of models: sizes of the test parts, and scores between 0 and 1."""
+    rest = " + (SELECT count(*) FROM embeddings) - (SELECT count(*) FROM placed)" if all_data else ""
+    return (f"WITH placed AS ({_drawn_sql(share, folds)}) SELECT {SEED} AS seed, fold, count(*) FILTER (label = {TARGET}) AS positives, "
+            f"count(*) FILTER (label <> {TARGET}){rest} AS negatives, TRUE AS scores_bounded FROM placed GROUP BY fold")
+
+
+def _sizes(answers: DataFrame) -> DataFrame:
+    """Sizes of the test parts from the counts of the metrics, and whether all scores lie between 0 and 1."""
+    scored = metrics.scores(answers, ["seed", "fold"], TARGET)
+    bounded = reduce(lambda a, b: a & b, [F.col(c).between(0, 1) for c in metrics.SCORES])
+    return scored.select("seed", "fold", (F.col("tp") + F.col("fn")).alias("positives"), (F.col("tn") + F.col("fp")).alias("negatives"), bounded.alias("scores_bounded"))
+
+
 def _register_classifier(name: str) -> None:
     def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-        answers = evaluation.cross_validate(examples(spark, sf_dir), TARGET, name, 0.5, SEED, 3)
-        return metrics.scores(answers, ["seed", "fold"], TARGET)
+        return _sizes(evaluation.cross_validate(examples(spark, sf_dir), TARGET, name, 0.5, SEED, 3))
     validated.__name__ = f"cross_validated_{name}"
-    query()(validated)
+    query(_fold_sizes_sql(0.5, 3))(validated)
 
 
 for _name in CLASSIFIERS:
     _register_classifier(_name)
 
 
-@query()
+@query(_fold_sizes_sql(0.5, 3, all_data=True))
 def cross_validated_all_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that were not sampled are scored along with each test fold; scaling is fitted per fold."""
     answers = evaluation.cross_validate(examples(spark, sf_dir), TARGET, "svm_linear", 0.5, SEED, 3,
                                         evaluate_all_data=True, fit_scaler_per_fold=True)
-    return metrics.scores(answers, ["seed", "fold"], TARGET)
+    return _sizes(answers)
 
 
-@query()
+@query(_fold_sizes_sql(0.3, 3))
 def cross_validated_oversampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SMOTE on the training part only."""
     answers = evaluation.cross_validate(examples(spark, sf_dir), TARGET, "logistic", 0.3, SEED, 3, oversampling="smote")
-    return metrics.scores(answers, ["seed", "fold"], TARGET)
+    return _sizes(answers)
 
 
 @query()

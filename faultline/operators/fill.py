@@ -12,6 +12,7 @@ from faultline.functions.names import col, columns_of, pick, roles
 from faultline.functions.times import epoch_us
 from faultline.operators.ordered import SLOT_SECONDS, scan
 from faultline.params import EXTREME_MARKER
+from faultline.session import settle
 
 TEXT_METHODS = ("pad",)
 NUMERIC_METHODS = ("pad", "linear", "time")
@@ -183,7 +184,8 @@ def slice_valid(
     inside = col(ts) >= F.col("__from")
     if not extrapolate:
         inside = inside & (col(ts) <= F.col("__to"))
-    return df.join(bounds, list(keys)).filter(inside).select(*pick(df.columns))
+    # a row per machine, written first: its known size lets Spark send it to the rows instead of gathering a machine
+    return df.join(settle(bounds, "bounds"), list(keys)).filter(inside).select(*pick(df.columns))
 
 
 def _late_columns(df: DataFrame, columns: Sequence[str], ts: str, seconds: float) -> list[str]:
@@ -200,4 +202,4 @@ def trim_start(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("ma
     """Drop the rows before the first value of any column."""
     any_value = reduce(lambda a, b: a | b, [col(c).isNotNull() for c in columns])
     start = df.filter(any_value).groupBy(*pick(keys)).agg(F.min(col(ts)).alias("__from"))
-    return df.join(start, list(keys)).filter(col(ts) >= F.col("__from")).select(*pick(df.columns))
+    return df.join(settle(start, "starts"), list(keys)).filter(col(ts) >= F.col("__from")).select(*pick(df.columns))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.functions.keys import uniform
 from faultline.operators.neighbours import nearest
@@ -162,12 +162,15 @@ def svm_smote(train: DataFrame, target: int, k: int = 5, seed: int = 0, closest:
 
 
 def _numbered(train: DataFrame) -> DataFrame:
-    """Ids for synthetic rows too: negative hashes of their content."""
-    return train.withColumn("id", F.coalesce("id", -F.pmod(F.xxhash64("label", "x"), F.lit(1 << 62)) - 1))
+    """Ids for synthetic rows too, marked as made: hashes of content and, among equal rows, of a running number."""
+    copies = Window.partitionBy("label", "x").orderBy(F.lit(0))
+    made = train.filter("id IS NULL").withColumn("__copy", F.row_number().over(copies))
+    made = made.withColumn("id", F.xxhash64("label", "x", "__copy")).drop("__copy").withColumn("__made", F.lit(True))
+    return train.filter("id IS NOT NULL").withColumn("__made", F.lit(False)).unionByName(made)
 
 
 def _unnumber(train: DataFrame) -> DataFrame:
-    return train.withColumn("id", F.when(F.col("id") >= 0, F.col("id")))
+    return train.withColumn("id", F.when(~F.col("__made"), F.col("id"))).drop("__made")
 
 
 def drop_tomek_links(train: DataFrame, seed: int = 0) -> DataFrame:

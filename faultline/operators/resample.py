@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from faultline.functions.names import col, pick
 from faultline.functions.times import MICROS, epoch_us, from_epoch_us
 from faultline.operators.ordered import scan
+from faultline.session import settle
 
 DAY_SECONDS = 86_400
 _CHUNK = 4096  # grid points generated per row of the chunk table
@@ -39,8 +40,8 @@ def resample_last(
     """C4: row *t* of the grid holds, per column, the last non-null value in ``[t-seconds, t)``.
 
     Every bin from the first to the last timestamp gives one row; the first is therefore
-    empty and the content of the last bin is not shown. Bins start at midnight of the
-    first day, which for a width dividing the day is the same as bins since 1970.
+    empty and the content of the last bin is not shown. Values of equal time
+    are decided by the larger one. Bins start at midnight of the first day, which for a width dividing the day is the same as bins since 1970.
     """
     step = int(seconds * MICROS)
     us = epoch_us(col(ts))
@@ -48,14 +49,14 @@ def resample_last(
         source = df.withColumn("__start", us - F.pmod(us, F.lit(step)))
     else:
         day = F.lit(DAY_SECONDS * MICROS)
-        origin = df.groupBy(*pick(keys)).agg(F.min(us).alias("__first"))
+        origin = settle(df.groupBy(*pick(keys)).agg(F.min(us).alias("__first")), "origins")  # a row per machine, sent to the rows
         source = (
             df.join(origin, list(keys))
             .withColumn("__origin", F.col("__first") - F.pmod(F.col("__first"), day))
             .withColumn("__start", us - F.pmod(us - F.col("__origin"), F.lit(step)))
         )
     bins = source.groupBy(*pick(keys), "__start").agg(
-        *[F.max_by(col(c), F.when(col(c).isNotNull(), us)).alias(c) for c in columns]
+        *[F.max_by(col(c), F.when(col(c).isNotNull(), F.struct(us, col(c)))).alias(c) for c in columns]
     )
     bounds = source.groupBy(*pick(keys)).agg(F.min("__start").alias("low"), F.max("__start").alias("high"))
     shown = bins.withColumn("at", F.col("__start") + F.lit(step)).drop("__start")
@@ -79,16 +80,14 @@ def resample_asof(
     then empty steps look back with the two-level scan.
     """
     step = int(seconds * MICROS)
-    bounds = df.groupBy(*pick(keys)).agg(
-        F.min(epoch_us(col(ts))).alias("low"), F.max(epoch_us(col(ts))).alias("high")
-    )
+    bounds = settle(df.groupBy(*pick(keys)).agg(F.min(epoch_us(col(ts))).alias("low"), F.max(epoch_us(col(ts))).alias("high")), "bounds")
     us = epoch_us(col(ts))
     since = us - F.col("low")
     up = F.pmod(F.lit(step) - F.pmod(since, F.lit(step)), F.lit(step))  # to the next grid point
     newest = (
         df.join(bounds.select(*pick(keys), "low"), list(keys))
         .groupBy(*pick(keys), (us + up).alias("at"))
-        .agg(F.max_by(F.struct(*pick(columns)), us).alias("__row"))
+        .agg(F.max_by(F.struct(*pick(columns)), F.struct(us, F.struct(*pick(columns)))).alias("__row"))
     )
     points = grid(bounds, keys, step).join(newest, [*keys, "at"], "left")
     filled = scan(points, keys, "at", last={"__row": F.col("__row")}, slot_us=F.col("at"), slot_seconds=seconds * 512)
