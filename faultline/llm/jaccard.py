@@ -41,7 +41,7 @@ RUN_KEYS = 1 << 20
 BLOCK_BYTES = 1 << 16
 _BITS = 4096
 _ALL = (1 << 64) - 1
-_KEYS = "deal long, key long, node long, pivot long"
+_KEYS = "key long, node long, pivot long"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CANDIDATES = "a long, b long"
 
@@ -154,10 +154,7 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def _task_groups(keys: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
-    """One row per key with its first node, and a row for each further node that names the first as its pivot.
-
-    The first rows are dealt by key, the others by node, so that no key gathers more than a row per run.
-    """
+    """One row per key with its first node, and a row for each further node that names the first as its pivot."""
     order = np.lexsort((owner, keys))
     keys, owner = keys[order], owner[order]
     head = np.ones(len(keys), bool)
@@ -166,9 +163,7 @@ def _task_groups(keys: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
     same[1:] = ~head[1:] & (owner[1:] == owner[:-1])
     pivot = owner[np.maximum.accumulate(np.where(head, np.arange(len(keys)), 0))]
     keys, owner, head, pivot = keys[~same], owner[~same], head[~same], pivot[~same]
-    deal = np.where(head, keys, lexing.mix(owner.view(np.uint64) ^ keys).astype(np.uint64))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(deal.view(np.int64)), pa.array(keys.view(np.int64)), pa.array(owner), pa.array(pivot, mask=head)], names=["deal", "key", "node", "pivot"])
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owner), pa.array(pivot, mask=head)], names=["key", "node", "pivot"])
 
 
 def candidates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -217,7 +212,9 @@ def candidates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) ->
                 last_key, last_pivot = key[-1], pivot[-1]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    dealt = docs.select("text").mapInArrow(emit, _KEYS).repartition("deal").sortWithinPartitions("key", "node")
+    # first nodes are dealt by key, the others by node too, so that no key gathers more than a row per run
+    deal = F.when(F.col("pivot").isNull(), F.col("key")).otherwise(F.xxhash64("key", "node"))
+    dealt = docs.select("text").mapInArrow(emit, _KEYS).repartition(deal).sortWithinPartitions("key", "node")
     return dealt.mapInArrow(pair, _CANDIDATES)
 
 
@@ -227,9 +224,13 @@ def _representatives(named: DataFrame) -> DataFrame:
     return named.filter("node IS NOT NULL").groupBy("node").agg(first).select("node", "first.doc_id", "first.text_hash")
 
 
-def _with_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``node`` and ``shingles`` (sorted 64-bit hashes as bytes) of the rows in ``wanted`` (node, doc_id, text_hash)."""
-    asked = wanted.select("node", F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash"))
+def _with_sets(docs: DataFrame, wanted: DataFrame, width: int, repeated: bool) -> DataFrame:
+    """``node`` and ``shingles`` (sorted 64-bit hashes as bytes) of the rows in ``wanted`` (node, doc_id, text_hash).
+
+    The list of wanted rows grows with the documents, so both sides are dealt by row at every size. Only where
+    rows are repeated as a whole a set can come twice.
+    """
+    asked = wanted.select("node", F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash")).hint("shuffle_hash")
     row = (F.col("text_hash") == F.col("wanted_hash")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
     source = _identified(docs).join(asked, row).select("node", "text")
 
@@ -239,7 +240,8 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             found = [(node, s) for node, s in zip(asked_for, shingle_hashes(data, offsets, width), strict=True) if len(s) and set_hash(s) == node]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1].tobytes() for x in found], pa.binary())], names=["node", "shingles"])
 
-    return source.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    sets = source.mapInArrow(run, "node long, shingles binary")
+    return sets.dropDuplicates(["node"]) if repeated else sets
 
 
 @contextlib.contextmanager
@@ -326,7 +328,8 @@ def _groups(source: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     representatives = settle(_representatives(named), "representatives")
     found = settle(candidates(source, width, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     wanted = settle(found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(representatives, "node"), "wanted")
-    sets = settle(_with_sets(source, wanted, width), "sets")
+    repeated = not named.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
+    sets = settle(_with_sets(source, wanted, width, repeated), "sets")
     links = _verified(found, sets, percent)
     roots = settle(components(links), "roots")
     rest = _across(found, roots, sets, percent)
