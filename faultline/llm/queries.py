@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import bpe, fertility, huffman, jaccard, language, licenses, mixing, projections, pseudonyms, toxicity
+from faultline.llm import bpe, fertility, huffman, jaccard, language, licenses, mixing, oracles, projections, pseudonyms, toxicity
 from faultline.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,6 @@ def op10_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/id-files-{uuid.uuid4().hex}"
     huffman.write_files(encoded, path)
     return huffman.checksums(huffman.read_files(spark, path))
+
+
+ORACLES |= {"op7_parity_sketch_join": oracles.JACCARD_JOIN, "op8_projection_passes": oracles.VECTOR_LINKS}
