@@ -13,7 +13,7 @@ from faultline.operators import catalogue, cleansing, encode, features, fill, la
 from faultline.operators.sampling import class_counts
 from faultline.params import Horizon, PredictionParams
 from faultline.plans import evaluation
-from faultline.session import settle
+from faultline.session import settle, settled_tables
 from faultline.sources import files, raw_json, stores
 
 KEYS = ("machine_id",)
@@ -192,7 +192,16 @@ def matrix(long: DataFrame, p: PredictionParams) -> DataFrame:
 
 
 def run(frame: DataFrame, p: PredictionParams, results_path: str | None = None, store_path: str | None = None) -> DataFrame:
-    """C1-C15, F1-F19, M1-M10 on a global frame: a summary row per seed; with an ensemble also one for its vote and each member."""
+    """C1-C15, F1-F19, M1-M10 on a global frame: a summary row per seed; with an ensemble also one for its vote and each member.
+
+    The summary's few rows are held by the session, and the tables that the job has settled are removed at its end.
+    """
+    with settled_tables():
+        summary = _run(frame, p, results_path, store_path)
+        return frame.sparkSession.createDataFrame(summary.collect(), summary.schema)
+
+
+def _run(frame: DataFrame, p: PredictionParams, results_path: str | None = None, store_path: str | None = None) -> DataFrame:
     codes = settle(labels.code_series(frame, p.target_col).filter(F.col("code").isNotNull()), "codes")
     given = window_input(cleanse(frame, p), p)
     stored = None
