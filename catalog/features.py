@@ -133,13 +133,13 @@ _SCALES = {"min_max": ("min(value)", "max(value) - min(value)"), "robust": ("qua
 
 @query(f"""{_START}, {pairs_sql()}, feats AS (SELECT example_ts, series, {_RAW_LIST} FROM pairs GROUP BY 1, 2), long AS ({_LONG}),
 s AS (""" + " UNION ALL ".join(f"SELECT '{k}' AS scaler, feature, {a} AS c, {b} AS w FROM long GROUP BY feature" for k, (a, b) in _SCALES.items()) + """)
-SELECT s.scaler, l.example_ts, l.feature, round(CASE WHEN s.w > 1e-9 THEN (l.value - s.c) / s.w ELSE l.value - s.c END, 5) + 0.0 AS value FROM long l JOIN s ON s.feature = l.feature""")
+SELECT s.scaler, l.example_ts, l.feature, """ + sql_r6("(CASE WHEN s.w > 1e-9 THEN (l.value - s.c) / s.w ELSE l.value - s.c END)") + " AS value FROM long l JOIN s ON s.feature = l.feature")
 def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long features with each of the other scalers."""
     feats = features.minimal_features(pairs_before_errors(spark, sf_dir), EXAMPLE)
     long = settle(features.features_long(feats, EXAMPLE), "features")
     parts = [features.scale_long(long, name).select(F.lit(name).alias("scaler"), "example_ts", "feature", "value") for name in _SCALES]
-    return reduce(DataFrame.unionByName, parts).withColumn("value", F.round("value", 5) + F.lit(0.0))
+    return reduce(DataFrame.unionByName, parts).withColumn("value", r6(F.col("value")))
 
 
 @query(f"""{_START}, {_NEG}, {_EXAMPLE_PAIRS}, w AS (SELECT example_ts, code, avg(value) FILTER (series = 'click') AS click, avg(value) FILTER (series = 'view') AS view FROM pairs GROUP BY 1, 2)
