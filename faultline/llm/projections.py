@@ -1,18 +1,20 @@
 """Near-duplicate vectors by sorted projection passes.
 
-A pass orders all vectors by a concatenation of random hashes (signs of projections, then the first projection itself)
-and compares each with its next neighbours in that order; pairs whose cosine reaches the threshold are links, and
-links of all passes together are united to components. Windows are bounded: a vector is compared with its next ``window``
-neighbours, and while these are links, with up to four times as many. A dense group is joined by overlapping windows. Passes are dealt by ranges of the order itself, with
-the vector's id last, so equal hashes don't gather in one task.
+Equal vectors are one node. A pass orders all nodes by a concatenation of random hashes (signs of projections, then the
+first projection itself) and compares each with its next ``window`` neighbours in that order; pairs whose cosine reaches
+the threshold are links, and links of all passes together are united to components. The number of passes follows from the
+number of nodes, so that ``RECALL`` of isolated pairs at the threshold are expected to meet (``passes_for``). A dense
+group is joined by overlapping windows. Passes are dealt by ranges of the order itself, with the node last, so equal hashes
+don't gather in one task; on large tables few passes run at a time, so that their shuffle files stay a small multiple of
+the input.
 
 The number of links within a component is then counted exactly, without writing its pairs: vectors within half the
 threshold's angle of the component's centre are all linked with each other (angles add up at most), which their number
 settles; only the others are compared with the members of their component, in blocks.
 
 Null vectors, zero vectors and vectors with a null or non-finite component link with nothing. Vectors of different lengths
-don't link. Repeated rows are vectors of their own; equal ids are kept apart in the search and share their component. An
-empty table gives an empty result. Further columns are not read.
+don't link. Repeated rows are rows of their own, but equal ids share their component and have one count, the sum over their
+rows; equal vectors of one id are no link. An empty table gives an empty result. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -26,17 +28,26 @@ from pyspark.sql import DataFrame, functions as F
 from faultline.llm.components import components
 from faultline.session import settle
 
+#: Least number of passes; larger tables take more.
 PASSES = 12
+#: Expected share of isolated pairs at the threshold that are found.
+RECALL = 0.99
 HASHES = 24
-WINDOW = 12
+WINDOW = 128
 COSINE = 0.9
 CHUNK = 64
+#: Rows compared with their windows at once.
+ROWS = 256
+#: Ordered rows (nodes times passes) of a job; a job has ROUND passes at least.
+JOB_ROWS = 4_000_000
+ROUND = 4
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``vec_id`` and ``vector`` (array of double) of the rows that can link."""
-    vector = F.col(vector_col).cast("array<double>")
+    """``vec_id`` and ``vector`` (array of float if it was one, else of double) of the rows that can link."""
+    given = vectors.schema[vector_col].dataType.simpleString()
+    vector = F.col(vector_col).cast(given if given == "array<float>" else "array<double>")
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector")).filter(vector.isNotNull() & sound & F.col("vec_id").isNotNull())
 
@@ -58,13 +69,25 @@ def _planes(number: int, size: int, hashes: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.Philox(key=[seed, (number << 32) | size])).standard_normal((size, hashes))
 
 
-def ordered_passes(vectors: DataFrame, passes: int = PASSES, hashes: int = HASHES, seed: int = 17) -> DataFrame:
-    """Each vector once per pass: ``pass``, ``hash``, ``vec_id``, ``vector``."""
+def passes_for(n: int, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> int:
+    """Passes that find ``recall`` of the isolated pairs of ``cosine`` among ``n`` vectors, ``PASSES`` at least.
+
+    Two vectors agree in a sign with 1 - angle / pi. When they agree in so many leading signs that about ``window`` vectors
+    share them, they meet in that pass.
+    """
+    agree = 1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    meet = agree ** max(0.0, math.log2(max(n, 1) / window))
+    return PASSES if meet >= 1 else max(PASSES, math.ceil(math.log(1 - recall) / math.log1p(-meet)))
+
+
+def ordered_passes(vectors: DataFrame, passes: int = PASSES, hashes: int = HASHES, seed: int = 17, first: int = 0) -> DataFrame:
+    """Each vector once per pass, from number ``first``: ``pass``, ``hash``, ``vec_id``, ``vector``."""
+    kind = vectors.schema["vector"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             unit, sizes = _unit(batch.column("vector"))
-            for number in range(passes):
+            for number in range(first, first + passes):
                 out = np.zeros(len(sizes), np.int64)
                 for size in np.unique(sizes).tolist():
                     own = np.flatnonzero(sizes == size)
@@ -75,7 +98,7 @@ def ordered_passes(vectors: DataFrame, passes: int = PASSES, hashes: int = HASHE
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), number, np.int32)), pa.array(out), batch.column("vec_id"), batch.column("vector")],
                                                  names=["pass", "hash", "vec_id", "vector"])
 
-    rows = vectors.mapInArrow(run, "pass int, hash long, vec_id long, vector array<double>")
+    rows = vectors.mapInArrow(run, f"pass int, hash long, vec_id long, vector {kind}")
     return rows.repartitionByRange("pass", "hash", "vec_id").sortWithinPartitions("pass", "hash", "vec_id")
 
 
@@ -87,21 +110,16 @@ def neighbour_links(ordered: DataFrame, window: int = WINDOW, cosine: float = CO
     from faultline.llm.components import contract
 
     def links(ids: np.ndarray, number: np.ndarray, unit: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b, step, live = [], [], 1, np.arange(len(ids))
-        while len(live):
-            live = live[live + step < len(ids)]
-            live = live[number[live] == number[live + step]]
-            near = (np.einsum("ij,ij->i", unit[live], unit[live + step]) >= cosine) & (sizes[live] == sizes[live + step])
-            a.append(ids[live[near]])
-            b.append(ids[live[near] + step])
-            if step == window:
-                found = np.unique(np.concatenate(a))
-                live = live[np.isin(ids[live], found) & near]
-            elif step > window:
-                live = live[near]
-            step += 1
-            if step > 4 * window:
-                break
+        a, b = [], []
+        for at in range(0, len(ids), ROWS):
+            i, j = np.nonzero(unit[at: at + ROWS] @ unit[at: at + ROWS + window].T >= cosine)
+            i, j = i + at, j + at
+            near = (j > i) & (j <= i + window) & (number[i] == number[j]) & (sizes[i] == sizes[j])
+            u, v = ids[i[near]], ids[j[near]]
+            if len(u) > ROWS:
+                u, v = contract(u, v)
+            a.append(u)
+            b.append(v)
         return contract(np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def run(batches):
@@ -109,20 +127,28 @@ def neighbour_links(ordered: DataFrame, window: int = WINDOW, cosine: float = CO
         for batch in batches:
             unit, sizes = _unit(batch.column("vector"))
             now = [batch.column("vec_id").to_numpy(), batch.column("pass").to_numpy(), unit, sizes]
-            if tail is not None and tail[2].shape[1] == now[2].shape[1]:
+            if tail is not None:
+                width = max(tail[2].shape[1], unit.shape[1])
+                for x in (tail, now):
+                    x[2] = np.pad(x[2], ((0, 0), (0, width - x[2].shape[1])))
                 now = [np.concatenate([x, y]) for x, y in zip(tail, now, strict=True)]
             node, root = links(*now)
-            tail = [x[-4 * window:] for x in now]
+            tail = [x[-window:] for x in now]
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
 
     return ordered.mapInArrow(run, "a long, b long")
 
 
 def link_counts(vectors: DataFrame, members: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """``vec_id`` and ``n_links`` within the components of ``members`` (node, root)."""
+    """``vec_id`` and ``weight``, the rows within the components of ``members`` (node, root) that are near, itself included.
+
+    ``vectors`` has a distinct ``vec_id``, ``vector`` and ``n``, the number of rows it stands for.
+    """
+    kind = vectors.schema["vector"].dataType.simpleString()
     half = math.cos(math.acos(cosine) / 2 - 1e-7)
-    held = settle(vectors.join(members, vectors["vec_id"] == members["node"]).select("vec_id", "vector", "root"), "members")
-    scaled = F.transform("vector", lambda x: x / F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, y: s + y * y)))
+    held = settle(vectors.join(members, vectors["vec_id"] == members["node"]).select("vec_id", "vector", "n", "root"), "members")
+    vector = F.col("vector").cast("array<double>")
+    scaled = F.transform(vector, lambda x: x / F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, y: s + y * y)))
     centre = (held.select("root", F.posexplode(scaled)).groupBy("root", "pos").agg(F.avg("col").alias("mean"))
               .groupBy("root").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("centre")))
     centre = settle(centre, "centres")  # a row per component
@@ -134,15 +160,16 @@ def link_counts(vectors: DataFrame, members: DataFrame, cosine: float = COSINE)
             same = sizes == own
             width = min(unit.shape[1], middle.shape[1])
             core = same & (np.einsum("ij,ij->i", unit[:, :width], middle[:, :width]) >= half)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("root"), pa.array(core), batch.column("vector")], names=["vec_id", "root", "core", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("root"), pa.array(core), batch.column("vector"), batch.column("n")],
+                                             names=["vec_id", "root", "core", "vector", "n"])
 
-    placed = settle(held.join(centre, "root").select("vec_id", "root", "vector", "centre")
-                    .mapInArrow(near, "vec_id long, root long, core boolean, vector array<double>"), "placed")
-    cores = settle(placed.filter("core").groupBy("root").agg(F.count("*").alias("n_core")), "cores")
+    placed = settle(held.join(centre, "root").select("vec_id", "root", "vector", "n", "centre")
+                    .mapInArrow(near, f"vec_id long, root long, core boolean, vector {kind}, n long"), "placed")
+    cores = settle(placed.filter("core").groupBy("root").agg(F.sum("n").alias("n_core")), "cores")
     outer = placed.filter("NOT core").withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)))
     sizes = outer.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).alias("n_chunks"))
     chunks = (outer.join(settle(sizes, "outer-sizes"), "root").withColumn("chunk", F.pmod("slot", F.col("n_chunks")))
-              .groupBy("root", "chunk").agg(F.collect_list(F.struct("vec_id", "vector")).alias("block")))
+              .groupBy("root", "chunk").agg(F.collect_list(F.struct("vec_id", "vector", "n")).alias("block")))
     chunks = settle(chunks, "outer")
 
     def compare(batches):
@@ -151,34 +178,51 @@ def link_counts(vectors: DataFrame, members: DataFrame, cosine: float = COSINE)
                 block = [x for x in row["block"] if len(x["vector"]) == len(row["vector"]) and x["vec_id"] != row["vec_id"]]
                 if not block:
                     continue
-                kind = pa.list_(pa.float64())
-                one, other = _unit(pa.array([row["vector"]], kind))[0], _unit(pa.array([x["vector"] for x in block], kind))[0]
-                hit = [x["vec_id"] for x, c in zip(block, (other @ one[0]).tolist(), strict=True) if c >= cosine]
-                ids, n = list(hit), [1] * len(hit)
+                lists = pa.list_(pa.float64())
+                one, other = _unit(pa.array([row["vector"]], lists))[0], _unit(pa.array([x["vector"] for x in block], lists))[0]
+                hit = [x for x, c in zip(block, (other @ one[0]).tolist(), strict=True) if c >= cosine]
+                ids, n = [x["vec_id"] for x in hit], [row["n"]] * len(hit)
                 if row["core"] and hit:
                     ids.append(row["vec_id"])
-                    n.append(len(hit))
+                    n.append(sum(x["n"] for x in hit))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["vec_id", "n"])
 
     spark = vectors.sparkSession
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, "256")
     try:
-        across = settle(placed.join(chunks, "root").select("vec_id", "vector", "core", "block").mapInArrow(compare, "vec_id long, n long"), "across")
+        across = settle(placed.join(chunks, "root").select("vec_id", "vector", "n", "core", "block").mapInArrow(compare, "vec_id long, n long"), "across")
     finally:
         spark.conf.set(_BATCH, before)
-    inside = placed.filter("core").join(cores, "root").select("vec_id", (F.col("n_core") - 1).alias("n"))
-    return inside.unionByName(across).groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    inside = placed.filter("core").join(cores, "root").select("vec_id", F.col("n_core").alias("n")).unionByName(outer.select("vec_id", "n"))
+    return inside.unionByName(across).groupBy("vec_id").agg(F.sum("n").alias("weight"))
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """Per row: ``vec_id``, ``n_links``, ``component_id`` and whether it is the component's smallest id (``kept``)."""
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, passes: int | None = None, window: int = WINDOW) -> DataFrame:
+    """Per row: ``vec_id``, ``n_links``, ``component_id`` and whether it is the component's smallest id (``kept``).
+
+    Without ``passes`` their number follows from the number of distinct vectors.
+    """
     sound = usable(vectors)
-    links = settle(neighbour_links(ordered_passes(sound, passes), window, cosine), "neighbours")
-    roots = settle(components(links), "roots")
-    counts = settle(link_counts(sound, roots, cosine), "link-counts")
-    found = roots.join(counts, roots["node"] == counts["vec_id"], "left").select("node", "root", "n_links")
+    nodes = settle(sound.groupBy("vector").agg(F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    held = settle(sound.join(nodes.select("vector", "node"), "vector").groupBy("vec_id", "node").agg(F.count("*").alias("k")), "held")
+    distinct, n = nodes.select(F.col("node").alias("vec_id"), "vector", "n"), nodes.count()
+    passes = passes_for(n, cosine, window) if passes is None else passes
+    step, links = max(ROUND, JOB_ROWS // max(n, 1)), None
+    for first in range(0, passes, step):
+        found = settle(neighbour_links(ordered_passes(distinct, min(step, passes - first), first=first), window, cosine), "neighbours")
+        links = found if links is None else links.unionByName(found)
+    several = held.groupBy("vec_id").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    same = held.join(several, "vec_id").select("a", F.col("node").alias("b"))
+    roots = settle(components(same if links is None else links.unionByName(same)), "roots")
+    weights = settle(link_counts(distinct, roots, cosine), "link-counts")
+    own = nodes.select(F.col("node").alias("own"), "n")
+    linked = roots.join(weights, roots["node"] == weights["vec_id"]).select("node", "root", "weight")
+    placed = settle(own.join(linked, own["own"] == linked["node"], "left").select("own", F.coalesce("root", "own").alias("root"), F.coalesce("weight", "n").alias("weight")), "weights")
+    member = settle(held.join(placed, held["node"] == placed["own"]).select("vec_id", "root", (F.col("k") * (F.col("weight") - F.col("k"))).alias("n")), "rows")
+    least = settle(member.groupBy("root").agg(F.min("vec_id").alias("component_id")), "least-ids")
+    counts = settle(member.join(least, "root").groupBy(F.col("vec_id").alias("id")).agg(F.sum("n").alias("n_links"), F.min("component_id").alias("component_id")), "found")
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    return (ids.join(settle(found, "found"), ids["vec_id"] == F.col("node"), "left")
-            .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
+    return (ids.join(counts, ids["vec_id"] == F.col("id"), "left")
+            .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
             .withColumn("kept", F.col("vec_id") == F.col("component_id")))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import collections
+import math
 import pathlib
 import random
 import re
 import sys
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[2]))
@@ -152,3 +155,48 @@ def test_vectors_recall_and_counts(spark):
     np.fill_diagonal(near, False)
     counts = np.array([got[int(i)]["n_links"] for i in order])
     assert (counts <= near.sum(1)).all() and counts.sum() >= 0.9 * near.sum()
+
+
+def _isolated_pairs(draw, n, pairs, size, cosine):
+    """``n`` unit vectors; of the first ``2 * pairs``, i and i + pairs have the given cosine."""
+    x = draw.standard_normal((n, size))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    a, b = x[:pairs], x[pairs: 2 * pairs]
+    b -= (a * b).sum(1)[:, None] * a
+    x[pairs: 2 * pairs] = cosine * a + math.sqrt(1 - cosine ** 2) * b / np.linalg.norm(b, axis=1)[:, None]
+    return x
+
+
+def _vector_table(spark, path, ids, x):
+    column = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.astype(np.float32).ravel()))
+    pq.write_table(pa.table({"vec_id": pa.array(ids), "embedding": column}), path, row_group_size=10_000)
+    return spark.read.parquet(str(path))
+
+
+def test_isolated_pairs_of_a_large_table_are_found(spark, tmp_path):
+    pairs = 3000
+    x = _isolated_pairs(np.random.default_rng(12), 100_000, pairs, 64, 0.9005)
+    df = _vector_table(spark, tmp_path / "vectors.parquet", np.arange(len(x)), x)
+    got = {r["vec_id"]: r for r in projections.near_duplicates(df).filter(f"vec_id < {2 * pairs}").collect()}
+    recall = np.mean([got[i + pairs]["component_id"] == i and got[i]["n_links"] == 1 for i in range(pairs)])
+    print(f"recall {recall:.4f} with {projections.passes_for(len(x))} passes")
+    assert recall >= 0.98
+    assert projections.passes_for(1_000_000) > projections.passes_for(100_000) > projections.PASSES
+
+
+def test_copies_hide_no_links(spark, tmp_path):
+    pairs, copies = 500, 30
+    x = _isolated_pairs(np.random.default_rng(13), 2 * pairs, pairs, 16, 0.97)
+    df = _vector_table(spark, tmp_path / "vectors.parquet", np.arange(2 * pairs * copies), np.tile(x, (copies, 1)))
+    unit = x.astype(np.float32).astype(float)
+    near = unit @ unit.T >= 0.9 * np.outer(np.linalg.norm(unit, axis=1), np.linalg.norm(unit, axis=1))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in projections.near_duplicates(df).collect()}
+    root = united(len(x), np.argwhere(np.triu(near, 1)).tolist())
+    expected = {i: (int(near[i % len(x)].sum()) * copies - 1, root[i % len(x)]) for i in range(len(x) * copies)}
+    assert got == expected
+
+
+def test_equal_ids_and_copies(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (3, [-1.0, 0.0]), (4, [0.0, 1.0]), (5, [-1.0, 0.05])]
+    got = sorted(tuple(r) for r in projections.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 3, True), (3, 2, 3, True), (4, 1, 3, False), (5, 1, 3, False)]
