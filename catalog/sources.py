@@ -62,6 +62,19 @@ def flattened_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_json.flatten_record(nested.select("l_orderkey", record.alias("record")))
 
 
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i FROM lineitem)
+SELECT l_orderkey, 'order.key' AS field, CAST(l_orderkey AS VARCHAR) AS value FROM (SELECT DISTINCT l_orderkey FROM lineitem)
+UNION ALL SELECT l_orderkey, 'order.lines.' || i || '.part.id', CAST(l_partkey AS VARCHAR) FROM l
+UNION ALL SELECT l_orderkey, 'order.lines.' || i || '.flag', l_returnflag FROM l""")
+def flattened_open_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same orders as JSON text, flattened without a schema."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    nested = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    lines = F.transform("lines", lambda x: F.struct(F.struct(x["l_partkey"].alias("id")).alias("part"), x["l_returnflag"].alias("flag")))
+    record = F.struct(F.struct(F.col("l_orderkey").alias("key"), lines.alias("lines")).alias("order"))
+    return raw_json.flatten_objects(nested.select("l_orderkey", F.to_json(record).alias("text")))[0]
+
+
 @query("SELECT event_id, date_trunc('second', ts) AS event_timestamp, epoch_us(ts) // 1000 AS ms FROM events")
 def epoch_ms_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = F.floor(epoch_us(F.col("ts")) / 1000)

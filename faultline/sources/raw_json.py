@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from faultline.functions.names import col, pick
 from faultline.functions.times import from_epoch_us
+from faultline.session import settle
 
 # The separator of concatenated objects, the invalid hex escape and its repair.
 JOINT = "}{"
@@ -134,6 +135,34 @@ def flatten_record(df: DataFrame, record: str = "record") -> DataFrame:
     return df.select(*pick(rest), F.explode(cells).alias("__cell")).select(*pick(rest), "__cell.*")
 
 
+def flatten_objects(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """S3 + S10 on JSON text of any fields: (long rows (…, field, value), quarantine).
+
+    Level by level, so no schema names the fields. Every leaf is a row; a null has a null value, an empty object or list is
+    ``{}`` or ``[]``. Text that isn't an object, that names a key twice, or that other text follows goes to the quarantine.
+    """
+    rest = [c for c in df.columns if c != text]
+    parsed = df.select("*", F.explode(F.array(F.try_parse_json(col(text)))).alias("__v"))
+    is_object = F.coalesce(F.schema_of_variant("__v").startswith("OBJECT<"), F.lit(False))
+    good = is_object & ~trailing_text(col(text))
+    kind, shown = F.schema_of_variant("__v"), F.to_json("__v")
+    inner = (kind.startswith("OBJECT<") | kind.startswith("ARRAY<")) & ~shown.isin("{}", "[]")
+    value = F.when(kind == "VOID", None).when(kind == "STRING", F.col("__v").try_cast("string")).otherwise(shown)
+    level = settle(parsed.filter(good).select(*pick(rest), F.lit(None).cast("string").alias("__field"), F.to_json("__v").alias("__text")), "objects")
+    flat = None
+    while True:
+        spark = df.sparkSession
+        below = level.withColumn("__v", F.parse_json("__text")).lateralJoin(spark.tvf.variant_explode(F.col("__v").outer()))
+        name = F.concat_ws(".", "__field", F.coalesce("key", F.col("pos").cast("string")))
+        cells = below.select(*pick(rest), name.alias("__field"), F.col("value").alias("__v"))
+        cells = settle(cells.select(*pick(rest), "__field", inner.alias("__inner"), F.when(inner, shown).otherwise(value).alias("__text")), "fields")
+        leaves = cells.filter("NOT __inner").select(*pick(rest), F.col("__field").alias("field"), F.col("__text").alias("value"))
+        flat = leaves if flat is None else flat.unionByName(leaves)
+        level = cells.filter("__inner").drop("__inner")
+        if level.isEmpty():
+            return flat, parsed.filter(~good | col(text).isNull()).select(*pick(df.columns))
+
+
 def from_epoch_ms(ms: Column) -> Column:
     """Epoch milliseconds to a zone-less timestamp with whole seconds."""
     return from_epoch_us((ms - F.pmod(ms, F.lit(1000))) * F.lit(1000))

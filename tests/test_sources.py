@@ -66,6 +66,16 @@ def test_flatten_names(spark):
     assert got == {"a": "x", "l.0.b": "1", "l.0.c.0": "p", "l.0.c.1": "q"}
 
 
+def test_flatten_keeps_fields_outside_the_schema(spark):
+    text = '{"machineId":"m","shift":{"crew":["a",{"n":2}],"none":null,"empty":{}},"rows":[],"x":1.5,"on":true,"components":[{"id":"c","extra":"e"}]}'
+    rows = [(1, text), (2, "no json"), (3, '{"a":1} tail'), (4, "[1]"), (5, None), (6, '{"a":1}}')]
+    flat, bad = raw_json.flatten_objects(spark.createDataFrame(rows, "id long, text string"))
+    got = {(r["id"], r["field"]): r["value"] for r in flat.collect()}
+    assert got == {(1, "machineId"): "m", (1, "shift.crew.0"): "a", (1, "shift.crew.1.n"): "2", (1, "shift.none"): None, (1, "shift.empty"): "{}", (1, "rows"): "[]",
+                   (1, "x"): "1.5", (1, "on"): "true", (1, "components.0.id"): "c", (1, "components.0.extra"): "e", (6, "a"): "1"}
+    assert sorted(r["id"] for r in bad.collect()) == [2, 3, 4, 5]
+
+
 def test_series_names(spark, tmp_path):
     path = dump(tmp_path / "a.json.gz", record(items=[("load", 0, 1, 1.0), (None, 0, 1, 1.0)], ident="spindle"), record(items=[("load", 0, 1, 1.0)], ident=None))
     items = raw_json.component_items(raw_json.parse_records(raw_json.read_fragments(spark, path))[0])
