@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import bpe, fertility, huffman, jaccard, language, licenses, mixing, oracles, projections, pseudonyms, toxicity
+from faultline.llm import bpe, fertility, huffman, jaccard, language, licenses, mixing, oracles, periodic, projections, pseudonyms, toxicity
 from faultline.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,4 +98,10 @@ def op10_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.checksums(huffman.read_files(spark, path))
 
 
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal periodic runs of words of every text, with runs planted in every tenth."""
+    return periodic.digests(periodic.find_runs(periodic.with_planted_runs(_table(spark, sf_dir, "documents"))))
+
+
 ORACLES |= {"op7_parity_sketch_join": oracles.JACCARD_JOIN, "op8_projection_passes": oracles.VECTOR_LINKS}
