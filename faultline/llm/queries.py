@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import bpe, fertility, huffman, jaccard, language, licenses, mixing, oracles, periodic, projections, pseudonyms, toxicity
+from faultline.llm import bpe, fertility, huffman, jaccard, language, licenses, mixing, nearest, oracles, periodic, projections, pseudonyms, toxicity
 from faultline.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,13 @@ def op10_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.checksums(huffman.read_files(spark, path))
 
 
+@query
+def op11_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of largest inner product for every twentieth vector, against all."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.neighbours(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 @query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal periodic runs of words of every text, with runs planted in every tenth."""
