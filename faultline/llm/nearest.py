@@ -144,6 +144,7 @@ def _held_by(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, sizes: np.nd
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["query", "score", "vec_id", "list"])
 
     found = rows.mapInArrow(run, "query long, score double, vec_id long, list long")
+    found = found.groupBy("query", "vec_id").agg(F.max_by("list", "score").alias("list"), F.max("score").alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -174,6 +175,7 @@ def fit(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
     tried = (asked.sample(min(1.0, 1.5 * TRIED / max(m, 1)), seed=4) if m > 1.5 * TRIED else asked).limit(TRIED).toArrow()
     if not tried.num_rows:
         return Model(centroids, scale, size, 1, 1.0), listed
+    tried = tried.take(np.unique(tried.column("vec_id").to_numpy(), return_index=True)[1])
     trial, sizes = _matrix(tried.column("vector").combine_chunks(), size)
     held = _held_by(listed, tried.column("vec_id").to_numpy(), trial, sizes, k).select("query", "list").toArrow()
     turn = np.argsort(_order(trial / scale, centroids), axis=1)
