@@ -59,7 +59,7 @@ class Model:
     recall: float
 
 
-def _matrix(rows: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+def matrix(rows: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Vectors as rows of a matrix, zeros after the last component, and their lengths."""
     sizes = rows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -113,7 +113,7 @@ def _assigned(sound: DataFrame, centroids: np.ndarray, scale: float, size: int)
 
     def run(batches):
         for batch in batches:
-            rows, _ = _matrix(batch.column("vector"), size)
+            rows, _ = matrix(batch.column("vector"), size)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), pa.array(_nearest(rows / scale, centroids).astype(np.int32))],
                                              names=["vec_id", "vector", "list"])
 
@@ -127,11 +127,11 @@ def _held_by(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, sizes: np.nd
     def run(batches):
         held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         for batch in batches:
-            matrix, own = _matrix(batch.column("vector"), width)
+            wide, own = matrix(batch.column("vector"), width)
             names, lists = batch.column("vec_id").to_numpy(), batch.column("list").to_numpy().astype(np.int64)
-            for at in range(0, len(matrix), 4_096):
+            for at in range(0, len(wide), 4_096):
                 part = slice(at, at + 4_096)
-                score = queries @ matrix[part].T
+                score = queries @ wide[part].T
                 score[(sizes[:, None] != own[None, part]) | (ids[:, None] == names[None, part])] = -np.inf
                 if score.shape[1] > k:
                     floor = np.partition(score, -k, axis=1)[:, -k]
@@ -166,7 +166,7 @@ def fit(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
     scale = scale if np.isfinite(scale) and scale > 0 else peak * size ** 0.5
     wanted = max(1, min(SAMPLE, SAMPLE_VALUES // size))
     taken = sound.sample(min(1.0, 1.1 * wanted / n), seed=3).limit(wanted).select("vector") if n > wanted else sound.select("vector")
-    rows, _ = _matrix(taken.toArrow().column("vector").combine_chunks(), size)
+    rows, _ = matrix(taken.toArrow().column("vector").combine_chunks(), size)
     rows = rows / scale
     centroids = _cluster(rows, max(1, min(LISTS, round(n ** 0.5), len(rows) // 8)))
     listed = settle(_assigned(sound, centroids, scale, size), "listed")
@@ -176,7 +176,7 @@ def fit(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
     if not tried.num_rows:
         return Model(centroids, scale, size, 1, 1.0), listed
     tried = tried.take(np.unique(tried.column("vec_id").to_numpy(), return_index=True)[1])
-    trial, sizes = _matrix(tried.column("vector").combine_chunks(), size)
+    trial, sizes = matrix(tried.column("vector").combine_chunks(), size)
     held = _held_by(listed, tried.column("vec_id").to_numpy(), trial, sizes, k).select("query", "list").toArrow()
     turn = np.argsort(_order(trial / scale, centroids), axis=1)
     needed = np.sort(turn[held.column("query").to_numpy(), held.column("list").to_numpy()])
@@ -204,7 +204,7 @@ def build(model: Model, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         for batch in batches:
             lists, parts, ids = (batch.column(c).to_numpy() for c in ("list", "part", "vec_id"))
-            rows, sizes = _matrix(batch.column("vector"), size)
+            rows, sizes = matrix(batch.column("vector"), size)
             cuts = np.flatnonzero((np.diff(lists) != 0) | (np.diff(parts) != 0)) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
                 if key != (lists[lo], parts[lo]):
@@ -221,7 +221,7 @@ def build(model: Model, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield block()
 
     rows = listed.join(F.broadcast(counts), "list")  # LISTS rows at most
-    rows = rows.select("list", F.pmod(F.xxhash64("vec_id", "vector"), F.col("parts")).cast("int").alias("part"), "vec_id", "vector")
+    rows = rows.select("list", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("parts")).cast("int").alias("part"), "vec_id", "vector")
     rows = rows.repartition("list", "part").sortWithinPartitions("list", "part", "vec_id")
     return settle(rows.mapInArrow(run, "list int, part int, ids binary, sizes binary, columns array<binary>, originals binary"), "index"), counts
 
@@ -327,7 +327,7 @@ def _scanned(units: DataFrame, model: Model, k: int, given: str, epsilon: float)
                 if block[lo]:
                     parts += [_Part(*row.values(), given) for row in here.select(["ids", "sizes", "columns", "originals"]).to_pylist()]
                     continue
-                rows, sizes = _matrix(here.column("vector"), size)
+                rows, sizes = matrix(here.column("vector"), size)
                 asked.append((here.column("query_id").to_numpy(), rows, sizes, here.column("floor").to_numpy(zero_copy_only=False).astype(np.float64)))
                 if sum(len(x[0]) for x in asked) >= GROUP:
                     yield from flush()
@@ -348,7 +348,7 @@ def search(model: Model, index: DataFrame, lists: DataFrame, queries: DataFrame,
     def probed(first: int, last: int):
         def run(batches):
             for batch in batches:
-                rows, _ = _matrix(batch.column("vector"), size)
+                rows, _ = matrix(batch.column("vector"), size)
                 for at in range(0, len(rows), 1_024):
                     near = _order(rows[at: at + 1_024] / scale, centroids)[:, first:last]
                     here = batch.slice(at, len(near)).take(pa.array(np.repeat(np.arange(len(near)), near.shape[1])))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import bpe, fertility, huffman, jaccard, language, licenses, mixing, nearest, oracles, periodic, projections, pseudonyms, toxicity
+from faultline.llm import bpe, fertility, huffman, jaccard, language, licenses, mixing, nearest, negatives, oracles, periodic, projections, pseudonyms, toxicity
 from faultline.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,10 +105,19 @@ def op11_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.neighbours(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+@query
+def op12_threshold_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector and its positives, against all rows; a seventh of the labels is moved."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.sound(vectors.select("vec_id", "embedding", label.alias("label")))
+    return negatives.mine(rows, rows.filter("vec_id % 100 = 0"))
+
+
 @query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal periodic runs of words of every text, with runs planted in every tenth."""
     return periodic.digests(periodic.find_runs(periodic.with_planted_runs(_table(spark, sf_dir, "documents"))))
 
 
-ORACLES |= {"op7_parity_sketch_join": oracles.JACCARD_JOIN, "op8_projection_passes": oracles.VECTOR_LINKS}
+ORACLES |= {"op7_parity_sketch_join": oracles.JACCARD_JOIN, "op8_projection_passes": oracles.VECTOR_LINKS, "op12_threshold_negatives": oracles.HARD_NEGATIVES}
