@@ -14,27 +14,27 @@ from faultline.operators.sampling import class_counts
 from faultline.params import Horizon, PredictionParams
 from faultline.plans import evaluation
 from faultline.session import settle, settled_tables
-from faultline.sources import files, raw_json, stores
+from faultline.sources import dumps, files, raw_json, stores
 
 KEYS = ("machine_id",)
 _SLOTS = 16
 
 
-def extract(spark: SparkSession, paths: str | Sequence[str], machine_id: str, valid: Sequence[str] = timeline.MACHINE_IDS) -> tuple[DataFrame, DataFrame]:
-    """Raw dumps -> (samples of one machine, quarantine): S2-S4, S10, R1-R4, R7.
+def extract(spark: SparkSession, paths: str | Sequence[str], machine_id: str, valid: Sequence[str] = timeline.MACHINE_IDS,
+            keep_before_damage: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Raw dumps -> (samples of one machine, quarantine): S2-S4, S10, R1-R4, R7. Every file is read once.
 
-    Damaged files go to the quarantine as a whole, with a null text; the others are read.
+    The quarantine holds ``source_file``, ``text`` and ``reason``. A file that ends early or is damaged is set aside as a whole,
+    with a null text; with ``keep_before_damage`` its objects before the damage are used, and an object stays good when other
+    text follows it. Fields outside ``raw_json.RECORD_SCHEMA`` aren't read here (``raw_json.flatten_objects`` reads them).
     """
-    damaged = settle(raw_json.unreadable_files(spark, paths), "damaged-files")
-    names = {r["source_file"] for r in damaged.select("source_file").collect()}  # a name per damaged file
-    if names:
-        listed = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths)).select("path").collect()
-        paths = [r["path"] for r in listed if r["path"] not in names]
-    if not names or paths:
-        records, bad = raw_json.parse_records(raw_json.read_fragments(spark, paths))
-        bad = bad.select("source_file", "text").unionByName(damaged.select("source_file", F.lit(None).cast("string").alias("text")))
-    else:
-        raise ValueError(f"no readable file; damaged: {sorted(names)}")
+    rows = settle(dumps.read_dumps(spark, paths, strict=not keep_before_damage), "objects")
+    damaged = settle(rows.filter("text IS NULL").select("source_file", "text", F.col("problem").alias("reason")), "damaged-files")
+    if not keep_before_damage:
+        rows = rows.join(damaged.select("source_file"), "source_file", "left_anti")
+    records, bad = raw_json.parse_records(rows.filter("problem IS NULL").drop("problem", "position"), cut=True)
+    faulty = rows.filter("problem IS NOT NULL AND text IS NOT NULL").select("source_file", "text", F.col("problem").alias("reason"))
+    bad = bad.select("source_file", "text", F.lit("no record").alias("reason")).unionByName(faulty).unionByName(damaged)
     named = records.withColumn("machineId", F.col("record.machineId"))
     own = timeline.single_machine(named, machine_id, "machineId", valid)
     items = raw_json.component_items(own, keep=["source_file"])

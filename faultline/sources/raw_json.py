@@ -57,60 +57,32 @@ def split_objects(df: DataFrame, text: str, out: str = "text") -> DataFrame:
     return exploded.select(*pick(rest), "position", repair_escapes(F.col("__part")).alias(out))
 
 
-# A closing brace is followed by a comma, another closing sign or the end; whatever else stands there belongs to no object.
-_STRINGS = r'"(?:[^"\\]++|\\.)*+"'
-_AFTER_BRACE = r"\}\s*[^\s,\]\}]"
+_SIGNS = r'"(?:[^"\\]++|\\.)*+"|([{}])'  # braces outside of strings
 
 
 def trailing_text(text: Column) -> Column:
-    """Whether something follows an object's closing brace outside of strings, which the parser would ignore."""
-    return F.regexp_replace(text, _STRINGS, "").rlike(_AFTER_BRACE)
+    """Whether something follows the object's closing brace, which the parser would ignore; one brace too many doesn't count.
 
+    Braces are counted off: positive numbers are the depth, negative ones the braces from the closing one on.
+    """
+    signs = F.filter(F.regexp_extract_all(text, F.lit(_SIGNS), 1), lambda c: c != "")
+    state = F.aggregate(signs, F.lit(0), lambda s, c: F.when(s < 0, s - 1).when(c == "{", s + 1).when(s == 1, F.lit(-1)).otherwise(s - 1))
+    return ~(((state == -1) & text.rlike(r"\}\s*$")) | ((state == -2) & text.rlike(r"\}\s*\}\s*$")))
 
-def unreadable_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """S10 for whole files: (source_file, reason) of gzip files that end early or are damaged.
 
-    One task reads a file (up to 2 GB compressed) and inflates it in pieces without keeping the text.
-    """
-    import pandas as pd
-
-    def inspect(batches):
-        import zlib
-
-        for batch in batches:
-            out = []
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                reason, rest = None, content
-                try:
-                    while rest and rest[:2] == b"\x1f\x8b":  # a file may hold several members
-                        member = zlib.decompressobj(31)
-                        left = rest
-                        while left and not member.eof:
-                            member.decompress(left, 1 << 20)
-                            left = member.unconsumed_tail
-                        if not member.eof:
-                            reason = "the file ends early"
-                            break
-                        rest = member.unused_data
-                except zlib.error as error:
-                    reason = str(error)
-                if reason:
-                    out.append((name, reason))
-            yield pd.DataFrame(out, columns=["source_file", "reason"])
-
-    files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
-    return files.select("path", "content").mapInPandas(inspect, "source_file string, reason string")
-
-
-def parse_records(df: DataFrame, text: str = "text", schema: str = RECORD_SCHEMA) -> tuple[DataFrame, DataFrame]:
+def parse_records(df: DataFrame, text: str = "text", schema: str = RECORD_SCHEMA, cut: bool = False) -> tuple[DataFrame, DataFrame]:
     """S2 + S10: (records, quarantine). An object that does not parse, or that other text follows, does not stop the others.
 
+    Texts that ``dumps.cut_files`` has ``cut`` end with their object and aren't looked through again.
+
     The parsed value passes through a one-element explode: the optimizer would otherwise copy the parser
     into the filter and into every field access and parse each text many times.
     """
     value = F.from_json(col(text), f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})
     parsed = df.select("*", F.explode(F.array(value)).alias("record"))
-    bad = F.col(f"record.{CORRUPT}").isNotNull() | F.col("record").isNull() | trailing_text(col(text))
+    bad = F.col(f"record.{CORRUPT}").isNotNull() | F.col("record").isNull()
+    if not cut:
+        bad = bad | trailing_text(col(text))
     return parsed.filter(~bad).drop(text), parsed.filter(bad).select(*pick(df.columns))
 
 
