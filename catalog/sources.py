@@ -10,7 +10,7 @@ from catalog.base import LOG_SQL, PLANT, TARGET, log, query, table
 from catalog.labels import HOUR, SEED, draw_sql, kept_sql, positives
 from faultline.functions.times import epoch_us
 from faultline.operators import resample
-from faultline.sources import files, raw_json, site_log, stores
+from faultline.sources import dumps, files, raw_json, site_log, stores
 from faultline.session import shared_dir
 
 
@@ -205,3 +205,72 @@ def trailing_text_set_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(n == 3, F.format_string('{"id":%d,"name":"a} b \\"} c"}', "event_id")).otherwise(F.format_string('{"id":%d}}', "event_id")))
     good, bad = raw_json.parse_records(table(spark, sf_dir, "events").select("event_id", text.alias("text")), schema="id bigint, name string")
     return good.select("event_id", F.lit(False).alias("set_aside")).unionByName(bad.select("event_id", F.lit(True).alias("set_aside")))
+
+
+@query("""SELECT event_id, event_id % 8 IN (1, 2, 3, 4, 6) AS set_aside FROM events""")
+def outermost_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A comma, a bracket or a second object behind the outermost brace sets a text aside; one brace too many and blanks don't."""
+    n, object_ = F.col("event_id") % 8, F.format_string('{"id":%d,"in":[{"name":"}, {"},{"a":{}}]}', "event_id")
+    text = (F.when(n == 1, F.concat(object_, F.lit(',{"id":2}'))).when(n == 2, F.concat(object_, F.lit('] junk {"id":4}')))
+            .when(n == 3, F.concat(object_, F.lit(", junk"))).when(n == 4, F.concat(object_, F.lit('],[{"id":8}')))
+            .when(n == 5, F.concat(F.lit(" "), object_, F.lit("}\n"))).when(n == 6, F.concat(object_, F.lit("}}"))).otherwise(object_))
+    rows = table(spark, sf_dir, "events").select("event_id", text.alias("text"))
+    good, bad = raw_json.parse_records(rows, schema="id bigint, `in` array<struct<name: string>>")
+    return good.select("event_id", F.lit(False).alias("set_aside")).unionByName(bad.select("event_id", F.lit(True).alias("set_aside")))
+
+
+@query(f"""WITH e AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS path, event_id, user_id % 4 AS kind,
+  row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY event_id) AS i,
+  count(*) OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d')) AS n FROM events)
+SELECT path, CASE WHEN kind <> 3 OR event_id % 5 <> 0 THEN event_id END AS id, CASE WHEN kind = 3 AND event_id % 5 = 0 THEN '{dumps.UNFINISHED}' END AS problem
+FROM e WHERE kind <> 1 OR i < 3
+UNION ALL SELECT path, NULL, 'damaged' FROM e WHERE kind = 1 AND i = 3
+UNION ALL SELECT path, NULL, '{dumps.OUTSIDE}' FROM e WHERE kind = 2""")
+def damaged_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gzip file of one member an object for every user and day; of four users one has files that are damaged from the third member
+    on, one has commas between its objects and text at the end, and one has objects without their last brace."""
+    def packed(batches):
+        import gzip
+
+        import pyarrow as pa
+
+        for batch in batches:
+            contents = []
+            for kind, ids in zip(batch.column("kind").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                texts = [f'{{"id":{i},"name":"}}{{ \\" {i}"' + ("" if kind == 3 and i % 5 == 0 else "}") for i in ids]
+                if kind == 2:
+                    texts = [t + "," for t in texts[:-1]] + [texts[-1] + " tail"]
+                members = [gzip.compress(t.encode()) for t in texts]
+                contents.append(b"".join(members[:2] + ([b"\x1f\x8b" + bytes(40)] + members[3:] if kind == 1 and len(members) > 2 else members[2:])))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    day = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    listed = (table(spark, sf_dir, "events").groupBy(day.alias("path"), (F.col("user_id") % 4).alias("kind"))
+              .agg(F.sort_array(F.collect_list("event_id")).alias("ids")))  # a user's day
+    rows = dumps.cut_files(listed.mapInArrow(packed, "path string, content binary"), strict=False)
+    number = F.when(F.col("problem").isNull(), F.get_json_object("text", "$.id").cast("bigint"))
+    return rows.select(F.col("source_file").alias("path"), number.alias("id"), F.when(F.col("problem").isNotNull() & F.col("text").isNull(), "damaged").otherwise(F.col("problem")).alias("problem"))
+
+
+@query("SELECT event_id AS id, event_type || '}{' AS name FROM events")
+def dump_files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects written to compressed files, with joints within strings and commas between some objects, and read back."""
+    path = _scratch(spark, "dumps")
+    rows = table(spark, sf_dir, "events")
+    text = F.concat(F.format_string('{"id":%d,"name":"%s}{"}', "event_id", "event_type"), F.when(F.col("event_id") % 3 == 0, ",").otherwise(""))
+    rows.select(text.alias("text")).repartition(8, "text").write.option("compression", "gzip").text(path)
+    good, _ = raw_json.parse_records(dumps.read_dumps(spark, path, strict=False).filter("problem IS NULL"), schema="id bigint, name string", cut=True)
+    return good.select("record.id", "record.name")
+
+
+@query("""WITH e AS (SELECT event_id, event_type, user_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS n FROM events)
+SELECT event_id, 'event.' || event_type || '.user' AS field, CAST(user_id AS VARCHAR) AS value FROM e
+UNION ALL SELECT event_id, 'event.' || event_type || '.at.0.k' || event_id % 5, event_type FROM e
+UNION ALL SELECT event_id, 'event.' || event_type || '.at.1', NULL FROM e
+UNION ALL SELECT event_id, 'on', 'true' FROM e WHERE n IS NOT NULL
+UNION ALL SELECT event_id, 'none', '{}' FROM e WHERE n IS NULL""")
+def flattened_varied_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects whose keys differ from row to row, flattened without a schema."""
+    text = F.concat(F.format_string('{"event":{"%s":{"user":%d,"at":[{"k%d":"%s"},null]}},', "event_type", "user_id", F.col("event_id") % 5, "event_type"),
+                    F.when(F.col("event_id") % 3 == 0, '"on":true}').otherwise('"none":{}}'))
+    return raw_json.flatten_objects(table(spark, sf_dir, "events").select("event_id", text.alias("text")))[0]

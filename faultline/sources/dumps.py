@@ -104,8 +104,17 @@ def cut(pieces: Iterable[bytes], longest: int = LONGEST) -> Iterator[tuple[bytes
     text, at, start, depth, strays = b"", 0, None, 0, b""
 
     def pieces_of(broken: bytes) -> Iterator[tuple[bytes, str | None]]:
+        held = b""
         for part in _JOINT.split(broken):
-            yield (part, None) if _is_whole(part) else (part, UNFINISHED)
+            if not _is_whole(part):
+                held += part
+                continue
+            if held:
+                yield held, UNFINISHED
+                held = b""
+            yield part, None
+        if held:
+            yield held, UNFINISHED
 
     for piece in pieces:
         text += piece
