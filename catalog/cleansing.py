@@ -118,19 +118,19 @@ def forward_filled_limit_2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _interpolated_sql(x: str) -> str:
     look = "OVER (ORDER BY p ROWS UNBOUNDED PRECEDING)", "OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
     parts = []
-    for t in ("error", "view"):
+    for t in TYPES:
         parts.append(f"last_value({t} IGNORE NULLS) {look[0]} AS {t}_a, last_value(CASE WHEN {t} IS NOT NULL THEN x END IGNORE NULLS) {look[0]} AS {t}_xa, "
                      f"first_value({t} IGNORE NULLS) {look[1]} AS {t}_b, first_value(CASE WHEN {t} IS NOT NULL THEN x END IGNORE NULLS) {look[1]} AS {t}_xb")
     shown = ", ".join(
         f"CASE WHEN {t} IS NOT NULL THEN {sql_r6(t)} WHEN {t}_b IS NULL THEN {sql_r6(t + '_a')} "
-        f"ELSE {sql_r6(f'{t}_a + ({t}_b - {t}_a) * (x - {t}_xa) / ({t}_xb - {t}_xa)')} END AS {t}" for t in ("error", "view"))
+        f"ELSE {sql_r6(f'{t}_a + ({t}_b - {t}_a) * (x - {t}_xa) / ({t}_xb - {t}_xa)')} END AS {t}" for t in TYPES)
     return f"""WITH {WIDE_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS p FROM wide), nx AS (SELECT *, CAST({x} AS DOUBLE) AS x FROM n),
 l AS (SELECT *, {", ".join(parts)} FROM nx) SELECT event_id, {shown} FROM l"""
 
 
 def _interpolated(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    done = fill.interpolate(wide(spark, sf_dir), ["error", "view"], method, tie=["event_id"])
-    return done.select("event_id", r6(F.col("error")).alias("error"), r6(F.col("view")).alias("view"))
+    done = fill.interpolate(wide(spark, sf_dir), TYPES, method, tie=["event_id"])
+    return done.select("event_id", *[r6(F.col(t)).alias(t) for t in TYPES])
 
 
 @query(_interpolated_sql("p"))
