@@ -1,9 +1,15 @@
-"""Exact nearest neighbours in blocks.
+"""Exact nearest neighbours by pivots.
 
-Points and queries are cut into blocks of bounded size; every (query block, point block) pair is one
-task that compares two small matrices and returns only the k best points per query. No
-side is broadcast, no task sees more than two blocks, no pair of rows is emitted. The work grows with
-queries x points, so callers pass training folds, not raw tables.
+Points belong to the nearest of some sampled pivots. Every pivot's number of points, largest distance (radius) and smallest
+distances are known, a table as small as the pivots. From a query's distances to the pivots follow
+
+* a bound of its k-th distance: the k-th smallest of (distance to a pivot + distance from there to one of its points);
+* the pivots whose points may be nearer: the distance less the radius (triangle inequality), and the distance to the plane that
+  parts their points from those of the nearest pivot, are both within the bound.
+
+All other pairs of pivots and queries are dropped before anything is compared. What remains is cut into blocks of points and
+turns of queries, both of bounded size, so that a crowded pivot is as many tasks as it fills; a task returns the k best points
+of each of its queries. No side is broadcast, no pair of rows is emitted.
 """
 
 from __future__ import annotations
@@ -12,18 +18,99 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from faultline.functions.keys import uniform
+from faultline.session import settle
 
 BLOCK_ROWS = 2048
+#: Pivots for as many points as a block holds, and most pivots in all.
+PIVOTS, MOST_PIVOTS = 8, 1024
+_SLACK = 1e-9
 
 
 def _blocks(rows: int) -> int:
     return max(1, -(-rows // BLOCK_ROWS))
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 1)
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty((len(a), len(b)))
+    step = max(1, 4_000_000 // max(b.size, 1))  # keeps the difference array small
+    for at in range(0, len(a), step):
+        out[at: at + step] = np.sqrt(((a[at: at + step, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    return out
+
+
+def by_pivot(points: DataFrame, pivots: np.ndarray, vector: str = "x") -> DataFrame:
+    """Points with ``__part``, the number of their nearest pivot, and ``__away``, their distance from it."""
+    schema = T.StructType([*points.schema, T.StructField("__part", T.IntegerType()), T.StructField("__away", T.DoubleType())])
+
+    def place(batches):
+        for batch in batches:
+            away = _distances(_matrix(batch.column(vector)), pivots)
+            part = np.argmin(away, axis=1) if len(away) else np.zeros(0, np.int64)
+            columns = [*batch.columns, pa.array(part.astype(np.int32)), pa.array(away[np.arange(len(away)), part] if len(away) else np.zeros(0))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "__part", "__away"])
+
+    return points.mapInArrow(place, schema)
+
+
+def to_pivots(queries: DataFrame, pivots: np.ndarray, nearest_of: dict[int, list[float]], radius: dict[int, float], k: int, vector: str = "x") -> DataFrame:
+    """Queries once for every pivot (``__part``) that may hold one of their ``k`` nearest points."""
+    schema = T.StructType([*queries.schema, T.StructField("__part", T.IntegerType())])
+    parts = np.array(sorted(radius), np.int32)
+    reach = np.array([radius[int(p)] for p in parts])
+    # smallest distances from each pivot, filled up with infinity; one more for the query itself
+    inner = np.full((len(parts), k + 1), np.inf)
+    for row, p in enumerate(parts.tolist()):
+        held = sorted(nearest_of[p])[: k + 1]
+        inner[row, : len(held)] = held
+    centres = pivots[parts]
+    apart = _distances(centres, centres)
+
+    def send(batches):
+        for batch in batches:
+            rows = _matrix(batch.column(vector))
+            for at in range(0, len(rows), 256):
+                away = _distances(rows[at: at + 256], centres)
+                bound = (away[:, :, None] + inner[None, :, :]).reshape(len(away), -1)
+                bound = np.partition(bound, k, axis=1)[:, k] * (1 + _SLACK) + _SLACK
+                own = np.argmin(away, axis=1)
+                # distance to the plane half-way between the query's own pivot and another one
+                plane = (away ** 2 - away[np.arange(len(away)), own][:, None] ** 2) / np.maximum(2 * apart[own], 1e-300)
+                near = (away - reach[None, :] <= bound[:, None]) & (plane * (1 - _SLACK) - _SLACK <= bound[:, None])
+                query, part = np.nonzero(near)
+                here = batch.slice(at, len(away)).take(pa.array(query))
+                yield pa.RecordBatch.from_arrays([*here.columns, pa.array(parts[part])], names=[*batch.schema.names, "__part"])
+
+    return queries.mapInArrow(send, schema)
+
+
+def parted(queries: DataFrame, points: DataFrame, k: int, vector: str = "x", seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Queries and points with ``__part``; only rows of equal parts need to be compared. Points are written once."""
+    n = points.count()
+    wanted = 1 if n <= BLOCK_ROWS else min(MOST_PIVOTS, PIVOTS * _blocks(n))
+    if wanted == 1:
+        return tuple(df.withColumn("__part", F.lit(0)) for df in (queries, points))
+    sample = points.select(vector).sample(min(1.0, 2 * wanted / n), seed=seed).limit(wanted).toArrow()
+    pivots = np.unique(_matrix(sample.column(vector).combine_chunks()), axis=0)
+    if not len(pivots):
+        return tuple(df.withColumn("__part", F.lit(0)) for df in (queries, points))
+    placed = settle(by_pivot(points, pivots, vector), "pivots")
+    inner = placed.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy("__away"))).filter(F.col("__rank") <= k + 1)
+    inner = inner.groupBy("__part").agg(F.collect_list("__away").alias("inner"))
+    stats = placed.groupBy("__part").agg(F.max("__away").alias("radius")).join(inner, "__part").collect()  # a row a pivot
+    sent = to_pivots(queries, pivots, {r["__part"]: r["inner"] for r in stats}, {r["__part"]: r["radius"] for r in stats}, k, vector)
+    return sent, placed.drop("__away")
+
+
 def nearest(
     queries: DataFrame, points: DataFrame, k: int, id_col: str = "id", vector: str = "x", carry: Sequence[str] = (),
     seed: int = 0,
@@ -32,15 +119,20 @@ def nearest(
 
     Ties are ordered by point id. ``carry`` columns of the point come along.
     """
-    n_q, n_p = _blocks(queries.count()), _blocks(points.count())
+    asked = queries.select(id_col, vector)
+    sent, placed = parted(asked, points.select(*dict.fromkeys([id_col, vector, *carry])), k, vector, seed)
+    # blocks of points and turns of queries by pivot: a row a pivot
+    sizes = (placed.groupBy("__part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+             .join(sent.groupBy("__part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("turns")), "__part"))
+    sizes = F.broadcast(settle(sizes, "pivot-sizes"))  # MOST_PIVOTS rows at most
 
-    def blocks(df: DataFrame, n: int, prefix: str, columns: Sequence[str]) -> DataFrame:
+    def units(df: DataFrame, prefix: str, own: str, other: str) -> DataFrame:
         """Fresh column names on both sides: they may stem from the same frame."""
-        own = F.floor(uniform(seed, F.col(id_col)) * n).cast("int")
-        return df.select(own.alias(f"{prefix}_block"), *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
+        part = F.floor(uniform(seed, F.col(id_col)) * F.col(own)).cast("int")
+        rows = df.join(sizes, "__part").withColumn(f"{prefix}_{own}", part).withColumn(f"{prefix}_{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return rows.select(F.col("__part").alias(f"{prefix}_part"), f"{prefix}_blocks", f"{prefix}_turns", *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c != "__part"])
 
-    q = blocks(queries, n_q, "q", [id_col, vector]).withColumn("with_block", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))))
-    p = blocks(points, n_p, "p", list(dict.fromkeys([id_col, vector, *carry]))).withColumn("with_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    q, p = units(sent, "q", "turns", "blocks"), units(placed, "p", "blocks", "turns")
     id_type = queries.schema[id_col].dataType
     schema = T.StructType([
         T.StructField("query_id", id_type), T.StructField("point_id", id_type), T.StructField("distance", T.DoubleType()),
@@ -68,6 +160,6 @@ def nearest(
             found.append(chunk[np.isfinite(chunk["distance"])])
         return pd.concat(found)[schema.names]
 
-    candidates = q.groupBy("q_block", "with_block").cogroup(p.groupBy("with_block", "p_block")).applyInPandas(best, schema)
+    candidates = q.groupBy("q_part", "q_blocks", "q_turns").cogroup(p.groupBy("p_part", "p_blocks", "p_turns")).applyInPandas(best, schema)
     order = Window.partitionBy("query_id").orderBy("distance", "point_id")
     return candidates.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
