@@ -48,18 +48,20 @@ class Words:
         lengths = np.array([len(x) for x in found], np.int64)
         return np.fromiter((i for x in found for i in x), np.int64, int(lengths.sum())), lengths
 
-    def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents one after the other, and the number of each document's."""
         points, own = lexing.code_points(data, offsets)
         starts, ends, first = lexing.pretokens(points, own)
         ids, lengths = self.lexicon.values(self.lexicon.look_up(points, starts, ends))
         at = np.concatenate([[0], np.cumsum(lengths)])[first]
-        out = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         raw = data.tobytes()
-        if any(mark in raw for mark in self.marks):  # added tokens are cut out before the split pattern
-            for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                if any(mark in raw[a:b] for mark in self.marks):
-                    out[row] = np.array(self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids, np.uint32)
-        return out
+        if not any(mark in raw for mark in self.marks):
+            return ids, np.diff(at)
+        out = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            if any(mark in raw[a:b] for mark in self.marks):  # added tokens are cut out before the split pattern
+                out[row] = np.array(self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
 
 @cache
@@ -80,11 +82,13 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str =
         own, part, seq, before = words(tokenizer_path), TaskContext.get().partitionId(), 0, 0
         form = "<u2" if own.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch, lo, hi, data, offsets in lexing.batch_blocks(batches):
-            lists = [np.append(x, end_id).astype(form) for x in own.encode_block(data, offsets)]
-            n = np.array([len(x) for x in lists], np.int64)
+            ids, n = own.encode_block(data, offsets)
+            ended = np.full(len(ids) + len(n), end_id, form)
+            ended[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+            n = n + 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(hi - lo, part, np.int32)), pa.array(np.arange(seq, seq + hi - lo)), pa.array(before + np.cumsum(n) - n),
-                 batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array([x.tobytes() for x in lists], pa.binary())],
+                 batch.column("doc_id").slice(lo, hi - lo), pa.array(n), _binary(ended, n)],
                 names=["part", "seq", "first_id", "doc_id", "n", "ids"])
             seq, before = seq + hi - lo, before + int(n.sum())
 
@@ -97,21 +101,28 @@ def id_counts(encoded: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                found = np.bincount(_unpack(raw, n))
-                if len(found) > len(total):
-                    found[: len(total)] += total
-                    total = found
-                else:
-                    total[: len(found)] += found
+            found = np.bincount(_flat(batch.column("ids"), batch.column("n").to_numpy()), minlength=len(total))
+            found[: len(total)] += total
+            total = found
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
     return encoded.select("n", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _unpack(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
+def _binary(flat: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Runs of ``n`` numbers as binary values."""
+    ends = (np.concatenate([[0], np.cumsum(n)]) * flat.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def _flat(values: pa.Array, n: np.ndarray) -> np.ndarray:
+    """All ids of binary values (``n`` each) as one array."""
+    values = values.cast(pa.binary())
+    _, ends, data = values.buffers()
+    ends = np.frombuffer(ends, np.int32)[values.offset: values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int32)
+    raw = np.frombuffer(data, np.uint8)[ends[0]: ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.view("<u2" if len(raw) == 2 * int(n.sum()) else "<u4")
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -227,12 +238,14 @@ def write_files(encoded: DataFrame, path: str) -> None:
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), longs, longs, longs, pa.binary()]
         n_held = 0
         for batch in batches:
-            for part, seq, first_id, doc_id, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n = batch.column("n").to_numpy()
+            flat, ends = _flat(batch.column("ids"), n), np.cumsum(n)
+            for part, seq, first_id, doc_id, lo, hi in zip(*(c.to_pylist() for c in batch.columns[:4]), (ends - n).tolist(), ends.tolist(), strict=True):
                 if held and (n_held >= BLOCK_IDS or part != held[0][0] or seq != held[-1][1] + 1):
                     yield block()
                     n_held = 0
-                held.append((part, seq, first_id, doc_id, _unpack(raw, n)))
-                n_held += n
+                held.append((part, seq, first_id, doc_id, flat[lo:hi]))
+                n_held += hi - lo
         if held:
             yield block()
 
@@ -258,10 +271,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                 per = [len(x) for x in lengths]
                 first = np.concatenate([f + np.cumsum(x) - x for f, x in zip(col["first_id"], lengths, strict=True)])
                 joined = np.concatenate(lists).astype("<u4")
-                at = np.concatenate([[0], np.cumsum(n)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([d for x in col["doc_ids"] for d in x], pa.int64()), pa.array(np.repeat(col["part"], per).astype(np.int32)), pa.array(first), pa.array(n),
-                     pa.array([joined[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())],
+                    [pa.array([d for x in col["doc_ids"] for d in x], pa.int64()), pa.array(np.repeat(col["part"], per).astype(np.int32)), pa.array(first), pa.array(n), _binary(joined, n)],
                     names=["doc_id", "part", "first_id", "n_tokens", "ids"])
 
     decoded = blocks.select("part", "first_id", "n_ids", "doc_ids", "lengths", "offsets", "bits").mapInArrow(run, _DECODED)
