@@ -6,13 +6,13 @@ import itertools
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.functions.names import col, is_error_code, numeric_columns, pick
-from faultline.functions.stats import pearson
+from faultline.operators import gram
 
 UNAVAILABLE = "UNAVAILABLE"
-_PAIRS_PER_PASS = 400
 
 # The machine modes that may be selected and the columns that show them.
 MACHINE_MODES = {
@@ -104,20 +104,16 @@ def drop_error_codes(df: DataFrame, target: str, skip: bool = True) -> DataFrame
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> dict[tuple[str, str], float | None]:
-    """Pearson correlation of every pair of numeric columns over the rows where both are present.
+    """Pearson correlation of every pair of numeric columns over the rows where both are present, in one pass.
 
-    All pairs of a pass share one scan and one partial aggregate; a pass takes
-    400 pairs to keep the generated code small.
+    None where a column is constant in those rows, or holds a value that isn't a finite number.
     """
     if columns is None:
         columns = [c for c in numeric_columns(df) if not is_error_code(c)]
-    pairs = list(itertools.combinations(columns, 2))
-    found: dict[tuple[str, str], float | None] = {}
-    for at in range(0, len(pairs), _PAIRS_PER_PASS):
-        part = pairs[at:at + _PAIRS_PER_PASS]
-        row = df.agg(*[pearson(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)]).first()
-        found.update({p: row[f"r{i}"] for i, p in enumerate(part)})
-    return found
+    if len(columns) < 2:
+        return {}
+    found = gram.pearson_of_pairs(df, columns)
+    return {(columns[i], columns[j]): None if np.isnan(found[i, j]) else float(found[i, j]) for i, j in itertools.combinations(range(len(columns)), 2)}
 
 
 def correlated_columns(

@@ -63,7 +63,7 @@ def assign_folds(
     identity: Sequence[str],
     label: str = "label",
     shuffle_seed: int | None = 42,
-    slice_width: int = 1024,
+    rows_of_slice: int = 1024,
     out: str = "fold",
 ) -> DataFrame:
     """M3: stratified fold number per row, in random order or (``shuffle_seed=None``) in order of
@@ -80,7 +80,7 @@ def assign_folds(
     size = F.coalesce(*[F.when(col(label) == v, F.lit(n)) for v, n, _ in layout])
     begin = F.coalesce(*[F.when(col(label) == v, F.lit(s)) for v, _, s in layout])
     if shuffle_seed is None:
-        ranked = value_rank(df, [label], identity[0], slice_width, "__rank")
+        ranked = value_rank(df, [label], identity[0], rows_of_slice, "__rank")
     else:
         ranked = draw_rank(df, [label], shuffle_seed, pick(identity), "__rank")
     return ranked.withColumn(out, _fold_of_rank(F.col("__rank") - 1, size, begin, folds)).drop("__rank")
