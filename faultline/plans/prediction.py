@@ -219,6 +219,16 @@ def _run(frame: DataFrame, p: PredictionParams, results_path: str | None = None,
     counts = class_counts(rows)
     if len(counts) < 2:
         raise ValueError(f"both classes are needed, got {counts}")
+    summary = evaluated(rows, p)
+    if results_path:
+        stores.append_results(summary, results_path, target_code=p.target_code, pw=p.horizon.pw, rw=p.horizon.rw,
+                              classifier=p.classifier, oversampling=str(p.oversampling), balance_ratio=p.balance_ratio,
+                              sampling_percentage=p.sampling_percentage, folds=p.folds)
+    return summary
+
+
+def evaluated(rows: DataFrame, p: PredictionParams) -> DataFrame:
+    """M4, M7-M10 on an example matrix: a summary row per seed, with an ensemble also one for its vote and each member."""
     summary = evaluation.evaluate(rows, p.target_code, p.classifier, p.sampling_percentage, p.seeds, p.folds,
                                   oversampling=p.oversampling, evaluate_all_data=p.evaluate_all_data,
                                   fit_scaler_per_fold=p.fit_scaler_per_fold, classifier_options=p.classifier_options)
@@ -226,10 +236,6 @@ def _run(frame: DataFrame, p: PredictionParams, results_path: str | None = None,
         voted, single = evaluation.evaluate_ensemble(rows, p.target_code, p.ensemble, p.ensemble_seeds, p.folds, p.voting)
         voted = voted.withColumn("member", F.lit(f"{p.voting} vote"))
         summary = settle(summary.unionByName(voted.unionByName(single, allowMissingColumns=True), allowMissingColumns=True), "summary")
-    if results_path:
-        stores.append_results(summary, results_path, target_code=p.target_code, pw=p.horizon.pw, rw=p.horizon.rw,
-                              classifier=p.classifier, oversampling=str(p.oversampling), balance_ratio=p.balance_ratio,
-                              sampling_percentage=p.sampling_percentage, folds=p.folds)
     return summary
 
 
