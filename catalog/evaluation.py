@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalog.base import query, r6, sql_r6, table
+from catalog.base import log, query, r6, sql_r6, table
 from catalog.labels import draw_sql
 from faultline.operators import metrics, oversampling, sampling
 from faultline.operators.classifiers import CLASSIFIERS
-from faultline.params import NEGATIVE_LABEL
-from faultline.plans import evaluation
-from faultline.session import settle
+from faultline.params import NEGATIVE_LABEL, Horizon, MiningParams, parameter_grid
+from faultline.plans import evaluation, grid
+from faultline.session import settle, shared_dir
+from faultline.sources import stores
 
 TARGET = 7  # class label of the positive rows
 SEED, FOLDS, SHARE = 100, 5, 0.4
@@ -207,3 +209,62 @@ def validated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which rows a cross-validation predicts in which fold."""
     answers = evaluation.cross_validate(examples(spark, sf_dir), TARGET, "logistic", 0.5, SEED, FOLDS)
     return answers.select("seed", "fold", "id", "label")
+
+
+@query()
+def classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every classifier over all folds of a balanced draw, and whether it beats the answer that is always the larger class."""
+    rows = settle(examples(spark, sf_dir), "examples")
+    answers = [evaluation.cross_validate(rows, TARGET, name, 0.5, SEED, 3).select(F.lit(name).alias("classifier"), "label", "prediction") for name in CLASSIFIERS]
+    return metrics.beats_majority(metrics.scores(reduce(DataFrame.unionByName, answers), ["classifier"], TARGET))
+
+
+_CODE_SQL = "100 + CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 10"
+_RUN_LENGTHS, _RUN_CLASSIFIERS = ((3600, 3600), (3600, 7200)), ("logistic", "svm_linear")
+
+
+def _code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors by code."""
+    return log(spark, sf_dir).filter("event_type = 'error'").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH c AS (SELECT {_CODE_SQL} AS target_code, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1),
+g AS (SELECT target_code, pw, rw, classifier, n FROM c, (VALUES {", ".join(map(str, _RUN_LENGTHS))}) h(pw, rw), (VALUES {", ".join(f"('{x}')" for x in _RUN_CLASSIFIERS)}) k(classifier))
+SELECT CAST(target_code AS BIGINT) AS target_code, CAST(pw AS BIGINT) AS pw, CAST(rw AS BIGINT) AS rw, classifier FROM g WHERE NOT (n > (SELECT avg(n) FROM c) AND rw = 3600)""")
+def grid_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run for every code of the log, horizon and classifier; codes above the average have their results of one horizon already."""
+    counts = [(r["code"], r["n"]) for r in _code_counts(spark, sf_dir).orderBy("code").collect()]  # a row a code
+    options = {"target_code": [c for c, _ in counts], "horizon": [Horizon(*h) for h in _RUN_LENGTHS], "classifier": list(_RUN_CLASSIFIERS)}
+    runs = list(parameter_grid(options))
+    often = {c for c, n in counts if n * len(counts) > sum(m for _, m in counts)}
+    path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    done = [p for p in runs if p.target_code in often and p.horizon == Horizon(*_RUN_LENGTHS[0])]
+    for p in done[:1]:
+        stores.append_results(spark.range(2).select(F.rand(1).alias("accuracy")), path, run=grid.run_key(p, sf_dir))
+    held = spark.createDataFrame([(grid.run_key(p, sf_dir), 0.5) for p in done], "run string, accuracy double")
+    held.write.mode("append").parquet(path)
+    return grid.pending(grid.runs_table(spark, runs, sf_dir), grid.stored_results(spark, path)).select("target_code", "pw", "rw", "classifier")
+
+
+@query(f"""WITH c AS (SELECT {_CODE_SQL} AS code, count(*) AS n, max(value) AS top FROM events WHERE event_type = 'error' GROUP BY 1)
+SELECT CAST(code AS BIGINT) AS code, n, NULL::DOUBLE AS top, 'first' AS run, 3600 AS rw FROM c UNION ALL SELECT code, n, top, 'second', 7200 FROM c""")
+def results_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of two runs, the second with a further column, in one table of results."""
+    path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    errors = log(spark, sf_dir).filter("event_type = 'error'").groupBy("code")
+    stores.append_results(errors.agg(F.count(F.lit(1)).alias("n")), path, run="first", rw=3600)
+    stores.append_results(errors.agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top")), path, run="second", rw=7200)
+    return grid.stored_results(spark, path).filter("written_at IS NOT NULL").select("code", "n", "top", "run", "rw")
+
+
+@query(f"""WITH c AS (SELECT {_CODE_SQL} AS item, count(*) AS n, count(*) * 1.0 / (SELECT count(*) FROM events WHERE event_type = 'error') AS share FROM events WHERE event_type = 'error' GROUP BY 1)
+SELECT 'itemset' AS kind, CAST(item AS BIGINT) AS item, {sql_r6('share')} AS share FROM c UNION ALL SELECT 'rule', CAST(item AS BIGINT), {sql_r6('share')} FROM c WHERE n > 1 UNION ALL SELECT 'config', 1000, 0.5""")
+def mining_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configuration, itemsets and rules as stored tables, read back."""
+    path = f"{shared_dir(spark)}/mining-{uuid.uuid4().hex}"
+    counts = _code_counts(spark, sf_dir).crossJoin(log(spark, sf_dir).filter("event_type = 'error'").agg(F.count(F.lit(1)).alias("total")))
+    found = counts.select(F.col("code").alias("item"), r6(F.col("n") / F.col("total")).alias("share"), "n")
+    stores.write_mining(path, MiningParams(), found.drop("n"), found.filter("n > 1").drop("n"))
+    config = spark.read.parquet(f"{path}/config").select(F.lit("config").alias("kind"), F.col("window_len").alias("item"), F.col("support").alias("share"))
+    parts = [spark.read.parquet(f"{path}/{name}").select(F.lit(kind).alias("kind"), "item", "share") for kind, name in (("itemset", "fq_itemsets"), ("rule", "asc_rules"))]
+    return reduce(DataFrame.unionByName, [*parts, config])

@@ -67,3 +67,9 @@ def vote(
     else:
         wins = F.avg(col(probability)) > 0.5
     return members.groupBy(*pick(by)).agg(F.when(wins, F.lit(target)).otherwise(F.lit(NEGATIVE_LABEL)).alias("prediction"))
+
+
+def beats_majority(scored: DataFrame) -> DataFrame:
+    """Scores with ``majority``, the accuracy of always answering the larger class, and whether the model's is higher."""
+    positives, negatives = F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp")
+    return scored.withColumn("majority", F.greatest(positives, negatives) / (positives + negatives)).withColumn("beats_majority", F.col("accuracy") > F.col("majority"))
