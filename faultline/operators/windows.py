@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from faultline.functions.names import col, pick
-from faultline.functions.times import bucket, epoch_us, shift
+from faultline.functions.times import bucket, epoch_us, from_epoch_us, shift
 from faultline.params import Horizon
+from faultline.session import settle
 
 SALTS = 8
+#: Most touched cells whose list is sent to all tasks (some 10 MB).
+TOUCHED = 250_000
 _CELL = "__cell"
 
 
@@ -33,18 +36,27 @@ def interval_join(
     (keys, cell); a sample lies in exactly one cell, so no pair appears twice. The
     interval side is also repeated over ``salts``, which spreads one crowded cell over as
     many tasks; samples are never repeated. ``how='left'`` keeps intervals without samples.
+
+    Before any shuffle, samples outside of all intervals go: those before the first or behind the last by a filter on ``ts``
+    that reaches the scan, and, unless the intervals touch more than ``TOUCHED`` cells, those in other cells by a join with
+    the touched ones, whose list is then sent to all tasks. Intervals are written once.
     """
     width = max(width_seconds, 1e-6)
     kept = intervals.columns
+    intervals = settle(intervals, "intervals")
     first, final = bucket(epoch_us(col(low)), width), bucket(epoch_us(col(high)), width)
-    spread = (
-        intervals.withColumn(_CELL, F.explode(F.sequence(first, F.greatest(first, final))))
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    placed = samples.withColumns({
-        _CELL: bucket(epoch_us(col(ts)), width),
-        "__salt": F.pmod(F.xxhash64(*pick(samples.columns)), F.lit(salts)).cast("int"),
-    })
+    head, tail = intervals.agg(F.min(epoch_us(col(low))), F.max(epoch_us(col(high)))).first()
+    if head is None:
+        pairs = samples.join(intervals, list(keys)).filter(F.lit(False))
+        return pairs if how == "inner" else pairs.unionByName(intervals, allowMissingColumns=True)
+    spread = intervals.withColumn(_CELL, F.explode(F.sequence(first, F.greatest(first, final))))
+    given = samples.filter((col(ts) >= from_epoch_us(F.lit(head))) & (col(ts) <= from_epoch_us(F.lit(tail))))
+    placed = given.withColumn(_CELL, bucket(epoch_us(col(ts)), width))
+    touched = settle(spread.select(*pick(keys), _CELL).distinct(), "touched-cells")
+    if touched.count() <= TOUCHED:
+        placed = placed.join(F.broadcast(touched), [*keys, _CELL], "left_semi")
+    spread = spread.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    placed = placed.withColumn("__salt", F.pmod(F.xxhash64(*pick(samples.columns)), F.lit(salts)).cast("int"))
     within = (col(ts) >= col(low)) & ((col(ts) <= col(high)) if high_inclusive else (col(ts) < col(high)))
     pairs = placed.join(spread, [*keys, _CELL, "__salt"]).filter(within).drop(_CELL, "__salt")
     if how == "inner":
