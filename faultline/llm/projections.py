@@ -2,9 +2,11 @@
 
 Equal vectors are one node. A pass orders all nodes by a concatenation of random hashes (signs of projections, then the
 first projection itself) and compares each with its next ``window`` neighbours in that order; pairs whose cosine reaches
-the threshold are links, and links of all passes together are united to components. The number of passes follows from the
-number of nodes, so that ``RECALL`` of isolated pairs at the threshold are expected to meet (``passes_for``). A dense
-group is joined by overlapping windows. Passes are dealt by ranges of the order itself, with the node last, so equal hashes
+the threshold are links, and links of all passes together are united to components. Hashes are taken of unit vectors less
+their mean, because a direction that all vectors share would put most of them on one side of every plane. The number of
+passes is measured: partners at the threshold are made for ``ANCHORS`` vectors, all nodes between each and its partner are
+counted in ``TRIALS`` orders, and the passes follow that let ``RECALL`` of such pairs meet (``measured_passes``), never
+fewer than an evenly split table of that size needs (``passes_for``). A dense group is joined by overlapping windows. Passes are dealt by ranges of the order itself, with the node last, so equal hashes
 don't gather in one task; on large tables few passes run at a time, so that their shuffle files stay a small multiple of
 the input.
 
@@ -41,6 +43,12 @@ ROWS = 256
 #: Ordered rows (nodes times passes) of a job; a job has ROUND passes at least.
 JOB_ROWS = 4_000_000
 ROUND = 4
+#: Distinct vectors (chosen by hash) that fit the means, and those of them which get partners.
+FIT_ROWS = 2048
+ANCHORS = 256
+#: Orders in which the distance of partners is counted; their planes are those of no pass.
+TRIALS = 64
+_FIRST_TRIAL = 1 << 24
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -61,7 +69,7 @@ def _unit(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     else:
         out = np.zeros((len(sizes), int(sizes.max(initial=0))))
         out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-    out = out / np.abs(out).max(axis=1, keepdims=True)  # large and small components square without overflow
+    out = out / np.abs(out).max(axis=1, keepdims=True, initial=0)  # large and small components square without overflow
     return out / np.sqrt((out ** 2).sum(axis=1, keepdims=True)), sizes
 
 
@@ -69,6 +77,110 @@ def _planes(number: int, size: int, hashes: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.Philox(key=[seed, (number << 32) | size])).standard_normal((size, hashes))
 
 
+def _hashes(unit: np.ndarray, sizes: np.ndarray, number: int, hashes: int, seed: int, means: dict[int, np.ndarray]) -> np.ndarray:
+    """Place of each unit vector in the order ``number``: signs of projections, then the first projection itself."""
+    out = np.zeros(len(sizes), np.int64)
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == size)
+        planes = _planes(number, size, hashes, seed)
+        shadow = unit[own, :size] @ planes
+        if size in means:
+            shadow -= means[size] @ planes
+        bits = (shadow > 0) @ (1 << np.arange(hashes - 1, -1, -1))
+        fine = np.clip((shadow[:, 0] + 8) * 65536, 0, (1 << 20) - 1).astype(np.int64)
+        out[own] = (bits << 20) | fine
+    return out
+
+
+def fit_sample(vectors: DataFrame, rows: int = FIT_ROWS, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and lengths of the ``rows`` nodes with the smallest hashes."""
+    chosen = vectors.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").select("vector").limit(rows).toArrow()
+    return _unit(chosen.column("vector").combine_chunks())
+
+
+def means_of(unit: np.ndarray, sizes: np.ndarray) -> dict[int, np.ndarray]:
+    """Mean unit vector of each length in the sample; lengths outside of it are hashed as they are."""
+    return {size: unit[sizes == size, :size].mean(0) for size in np.unique(sizes).tolist()}
+
+
+def partners(unit: np.ndarray, sizes: np.ndarray, means: dict[int, np.ndarray], cosine: float, seed: int = 17) -> np.ndarray:
+    """For each unit vector another one at ``cosine`` that differs as the sample's vectors do: as near to the mean."""
+    draw, out = np.random.default_rng(seed), np.zeros_like(unit)
+    for size in np.unique(sizes).tolist():
+        own, mean = np.flatnonzero(sizes == size), means[size]
+        u = unit[own, :size]
+        part = u[draw.permutation(len(own))] - u[draw.permutation(len(own))] + 1e-6 * draw.standard_normal(u.shape)
+        ahead = mean / max(float(np.linalg.norm(mean)), 1e-12)
+        level = (u @ mean)[:, None]
+        keep = np.clip((cosine - level) / np.maximum(1 - level, 1e-9), 0, 1)
+        base = mean + keep * (u - mean)
+        across = u - (u @ ahead)[:, None] * ahead  # the part of u beside the mean's direction
+        across /= np.maximum(np.linalg.norm(across, axis=1, keepdims=True), 1e-12)
+        part = part - (part @ ahead)[:, None] * ahead
+        part -= (part * across).sum(1, keepdims=True) * across
+        part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
+        v = base + np.sqrt(np.maximum(1 - (base ** 2).sum(1, keepdims=True), 0)) * part
+        out[own, :size] = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    return out
+
+
+def passes_to_meet(met: np.ndarray, trials: int, recall: float = RECALL) -> int:
+    """Passes that let ``recall`` of pairs meet, of which pair i met in ``met[i]`` of ``trials`` orders.
+
+    The chances of pairs are taken as beta distributed with the mean and the spread that the counts show, so that pairs in
+    crowded places count with their own small chances.
+    """
+    share = (met.sum() + 0.5) / (len(met) * trials + 1)
+    if share > 1 - 1e-6:
+        return 1
+    spread = met.var() / (trials * share * (1 - share))
+    rho = min(max((spread - 1) / max(trials - 1, 1), 1e-6), 0.999)
+    a, b = share * (1 / rho - 1), (1 - share) * (1 / rho - 1)
+
+    def missed(passes: int) -> float:
+        return math.exp(math.lgamma(b + passes) - math.lgamma(b) + math.lgamma(a + b) - math.lgamma(a + b + passes))
+
+    low, high = 0, 1
+    while missed(high) > 1 - recall and high < 1 << 16:
+        low, high = high, high * 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if missed(middle) > 1 - recall else (low, middle)
+    return high
+
+
+def measured_passes(vectors: DataFrame, unit: np.ndarray, sizes: np.ndarray, means: dict[int, np.ndarray], cosine: float = COSINE, window: int = WINDOW,
+                    recall: float = RECALL, hashes: int = HASHES, seed: int = 17) -> int:
+    """Passes for ``recall``, from the number of nodes that stand between the first ``ANCHORS`` vectors of the sample and
+    their ``partners``. Every node is counted, in tasks; ``TRIALS`` times twice ``ANCHORS`` sums come to the driver."""
+    unit, sizes = unit[:ANCHORS], sizes[:ANCHORS]
+    other = partners(unit, sizes, means, cosine, seed)
+    numbers = range(_FIRST_TRIAL, _FIRST_TRIAL + TRIALS)
+    ends = [np.sort(np.stack([_hashes(x, sizes, number, hashes, seed, means) for x in (unit, other)]), axis=0) for number in numbers]
+    edges = [np.unique(x) for x in ends]
+    width = 2 * len(sizes) + 1
+
+    def count(batches):
+        total = np.zeros((TRIALS, width), np.int64)
+        for batch in batches:
+            rows, lengths = _unit(batch.column("vector"))
+            for trial, number in enumerate(numbers):
+                at = np.searchsorted(edges[trial], _hashes(rows, lengths, number, hashes, seed, means), side="right")
+                total[trial] += np.bincount(at, minlength=width)
+        trial, cell = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(trial.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(total[trial, cell])], names=["trial", "cell", "n"])
+
+    counts = np.zeros((TRIALS, width), np.int64)
+    for row in vectors.select("vector").mapInArrow(count, "trial int, cell int, n long").groupBy("trial", "cell").agg(F.sum("n").alias("n")).collect():
+        counts[row["trial"], row["cell"]] = row["n"]
+    before = np.cumsum(counts, axis=1)  # nodes ahead of each edge
+    met = np.zeros(len(sizes), np.int64)
+    for trial in range(TRIALS):
+        low, high = (before[trial][np.searchsorted(edges[trial], x)] for x in ends[trial])
+        met += high - low <= window
+    return passes_to_meet(met, TRIALS, recall)
+
+
 def passes_for(n: int, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> int:
     """Passes that find ``recall`` of the isolated pairs of ``cosine`` among ``n`` vectors, ``PASSES`` at least.
 
@@ -80,7 +192,8 @@ def passes_for(n: int, cosine: float = COSINE, window: int = WINDOW, recall: flo
     return PASSES if meet >= 1 else max(PASSES, math.ceil(math.log(1 - recall) / math.log1p(-meet)))
 
 
-def ordered_passes(vectors: DataFrame, passes: int = PASSES, hashes: int = HASHES, seed: int = 17, first: int = 0) -> DataFrame:
+def ordered_passes(vectors: DataFrame, passes: int = PASSES, hashes: int = HASHES, seed: int = 17, first: int = 0,
+                   means: dict[int, np.ndarray] | None = None) -> DataFrame:
     """Each vector once per pass, from number ``first``: ``pass``, ``hash``, ``vec_id``, ``vector``."""
     kind = vectors.schema["vector"].dataType.simpleString()
 
@@ -88,13 +201,7 @@ def ordered_passes(vectors: DataFrame, passes: int = PASSES, hashes: int = HASHE
         for batch in batches:
             unit, sizes = _unit(batch.column("vector"))
             for number in range(first, first + passes):
-                out = np.zeros(len(sizes), np.int64)
-                for size in np.unique(sizes).tolist():
-                    own = np.flatnonzero(sizes == size)
-                    shadow = unit[own, :size] @ _planes(number, size, hashes, seed)
-                    bits = (shadow > 0) @ (1 << np.arange(hashes - 1, -1, -1))
-                    fine = np.clip((shadow[:, 0] + 8) * 65536, 0, (1 << 20) - 1).astype(np.int64)
-                    out[own] = (bits << 20) | fine
+                out = _hashes(unit, sizes, number, hashes, seed, means or {})
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), number, np.int32)), pa.array(out), batch.column("vec_id"), batch.column("vector")],
                                                  names=["pass", "hash", "vec_id", "vector"])
 
@@ -201,16 +308,21 @@ def link_counts(vectors: DataFrame, members: DataFrame, cosine: float = COSINE)
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """Per row: ``vec_id``, ``n_links``, ``component_id`` and whether it is the component's smallest id (``kept``).
 
-    Without ``passes`` their number follows from the number of distinct vectors.
+    Without ``passes`` their number follows from how many distinct vectors there are and how they lie.
     """
     sound = usable(vectors)
     nodes = settle(sound.groupBy("vector").agg(F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     held = settle(sound.join(nodes.select("vector", "node"), "vector").groupBy("vec_id", "node").agg(F.count("*").alias("k")), "held")
     distinct, n = nodes.select(F.col("node").alias("vec_id"), "vector", "n"), nodes.count()
-    passes = passes_for(n, cosine, window) if passes is None else passes
+    unit, sizes = fit_sample(distinct)
+    means = means_of(unit, sizes)
+    if passes is None:
+        passes = passes_for(n, cosine, window)
+        if n > window + 1:  # a single window holds smaller tables
+            passes = max(passes, measured_passes(distinct, unit, sizes, means, cosine, window))
     step, links = max(ROUND, JOB_ROWS // max(n, 1)), None
     for first in range(0, passes, step):
-        found = settle(neighbour_links(ordered_passes(distinct, min(step, passes - first), first=first), window, cosine), "neighbours")
+        found = settle(neighbour_links(ordered_passes(distinct, min(step, passes - first), first=first, means=means), window, cosine), "neighbours")
         links = found if links is None else links.unionByName(found)
     several = held.groupBy("vec_id").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
     same = held.join(several, "vec_id").select("a", F.col("node").alias("b"))

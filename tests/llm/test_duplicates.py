@@ -184,6 +184,36 @@ def test_isolated_pairs_of_a_large_table_are_found(spark, tmp_path):
     assert projections.passes_for(1_000_000) > projections.passes_for(100_000) > projections.PASSES
 
 
+@pytest.mark.parametrize("common", [0.5, 0.7])
+def test_a_common_direction_hides_no_pairs(spark, tmp_path, common):
+    """Vectors whose cosines are ``common`` on average; of the first, i and i + pairs have the cosine 0.9005."""
+    pairs, n, draw = 2000, 100_000, np.random.default_rng(14)
+    rest = _isolated_pairs(draw, n, pairs, 63, (0.9005 - common) / (1 - common))
+    x = np.concatenate([np.full((n, 1), math.sqrt(common)), math.sqrt(1 - common) * rest], axis=1)
+    turn = np.linalg.qr(draw.standard_normal((64, 64)))[0]
+    df = _vector_table(spark, tmp_path / "vectors.parquet", np.arange(n), x @ turn)
+    got = {r["vec_id"]: r["component_id"] for r in projections.near_duplicates(df).filter(f"vec_id < {2 * pairs}").collect()}
+    recall = np.mean([got[i + pairs] == got[i] for i in range(pairs)])
+    print(f"recall {recall:.4f} at mean cosine {common}")
+    assert recall >= 0.95
+
+
+def test_made_partners_and_passes_for_uneven_chances():
+    draw = np.random.default_rng(15)
+    x = draw.standard_normal((300, 32)) + 1.2
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    sizes = np.full(300, 32)
+    means = projections.means_of(x, sizes)
+    other = projections.partners(x, sizes, means, 0.9)
+    assert np.allclose((x * other).sum(1), 0.9, atol=1e-6) and np.allclose(np.linalg.norm(other, axis=1), 1)
+    even = projections.passes_to_meet(draw.binomial(64, 0.2, 5000), 64, 0.99)
+    assert abs(even - math.log(0.01) / math.log(0.8)) <= 2
+    chance = np.where(np.arange(5000) % 2, 0.5, 0.05)
+    uneven = projections.passes_to_meet(draw.binomial(64, chance), 64, 0.95)
+    assert np.mean(1 - (1 - chance) ** uneven) >= 0.95
+    assert projections.passes_to_meet(np.full(9, 64), 64) <= 2
+
+
 def test_copies_hide_no_links(spark, tmp_path):
     pairs, copies = 500, 30
     x = _isolated_pairs(np.random.default_rng(13), 2 * pairs, pairs, 16, 0.97)
