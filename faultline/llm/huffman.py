@@ -27,6 +27,8 @@ from faultline.session import settle
 MAX_BITS = 18
 BLOCK_IDS = 1 << 16
 STEP = 1 << 10
+#: Pieces given to the tokenizers library in one text.
+JOINED = 1 << 12
 _ENCODED = "part int, seq long, first_id long, doc_id long, n long, ids binary"
 _BLOCKS = "part int, seq long, first_id long, n_ids long, doc_ids array<long>, lengths array<long>, offsets array<long>, bits binary"
 _DECODED = "doc_id long, part int, first_id long, n_tokens long, ids binary"
@@ -41,13 +43,43 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [str(t).encode() for t in self.tokenizer.get_added_tokens_decoder().values() for t in [t.content]]
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the byte-level sign of a space
         self.lexicon = lexing.Lexicon(self._pieces)
 
-    def _pieces(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _single(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
         lengths = np.array([len(x) for x in found], np.int64)
         return np.fromiter((i for x in found for i in x), np.int64, int(lengths.sum())), lengths
 
+    def _joined(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_single``, for pieces of a space and letters: one after the other they are a text that splits into just these
+        pieces, and an id whose token begins with a space begins a piece."""
+        ids, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(names), JOINED):
+            part = names[lo: lo + JOINED]
+            found = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            starts = np.flatnonzero(self.spaced[found])
+            n = np.diff(np.append(starts, len(found)))
+            if len(starts) != len(part) or starts[0]:  # a tokenizer that splits otherwise
+                found, n = self._single(part)
+            ids.append(found)
+            lengths.append(n)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _pieces(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter((x[0] == " " and x[1:].isalpha() for x in names), bool, len(names))
+        lengths, parts = np.zeros(len(names), np.int64), []
+        for own, encode_names in ((np.flatnonzero(plain), self._joined), (np.flatnonzero(~plain), self._single)):
+            ids, n = encode_names([names[i] for i in own.tolist()])
+            lengths[own] = n
+            parts.append((own, ids))
+        out, at = np.zeros(int(lengths.sum()), np.int64), np.cumsum(lengths) - lengths
+        for own, ids in parts:
+            out[lexing.ragged(at[own], lengths[own])] = ids
+        return out, lengths
+
     def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after the other, and the number of each document's."""
         points, own = lexing.code_points(data, offsets)

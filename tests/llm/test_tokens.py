@@ -118,3 +118,17 @@ def test_code_lengths_are_optimal():
         cost += both
         heapq.heappush(heap, both)
     assert (huffman.code_lengths(counts, 18) * counts).sum() == cost
+
+
+def test_pieces_joined_in_one_text_keep_their_ids():
+    own = huffman.Words(vocabularies.path("byte_bpe_50k.json"))
+    draw = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzäéßçñøжяλ中文가ªʰǅ"
+    names = [draw.choice(["", " ", "  "]) + "".join(draw.choice(letters) for _ in range(draw.randint(1, 14))) for _ in range(6000)] + [" ", "\n", " '", "'s", " 12", "x", " ́a", " á"]
+    draw.shuffle(names)
+    ids, lengths = own._pieces(names)
+    expected = [own.tokenizer.encode(x, add_special_tokens=False).ids for x in names]
+    assert ids.tolist() == [i for x in expected for i in x] and lengths.tolist() == [len(x) for x in expected]
+    own.spaced[:] = False  # every text looks as if it split otherwise
+    again, n = own._pieces(names)
+    assert again.tolist() == ids.tolist() and n.tolist() == lengths.tolist()
