@@ -160,21 +160,25 @@ def mixed_documents(docs: DataFrame, seed: int = 5, block_words: int = BLOCK_WOR
     """The words of the mix as documents: a row for each document and epoch that takes some of it, in the columns of ``docs``.
 
     A document that an epoch takes whole keeps its text; otherwise the text holds the words of the taken blocks in
-    their order. ``n_chars``, if present, is counted anew.
+    their order. ``n_chars``, if present, is counted anew. Further columns keep their values, whatever their names.
     """
+    # no helper column may have the name of a column of docs
+    lead = "piece_"
+    while any(c.lower().startswith(lead) for c in docs.columns):
+        lead += "_"
     sizes = sized(docs)
     sources = targets(sizes, block_words)
     laid = settle(laid_out(sizes, sources, seed).select("doc_id", "text_hash", sizes["source"], "size", "rank", "at"), "laid-out")
     pieces = (in_blocks(laid, block_words).join(slots(sources, seed).select("rank", "block", "epoch"), ["rank", "block"])
               .groupBy("doc_id", "text_hash", "source", "size", "rank", "at", "epoch")
               .agg(F.sum(F.col("to") - F.col("from")).alias("n"), F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans")))
-    pieces = pieces.select(*(F.col(c).alias(f"piece_{c}") for c in ("doc_id", "text_hash", "source", "size", "n", "spans")))
-    keys = [("doc_id", "piece_doc_id"), ("text_hash", "piece_text_hash"), ("source", "piece_source")]
-    texts = docs.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash", "source"])
+    pieces = pieces.select(*(F.col(c).alias(f"{lead}{c}") for c in ("doc_id", "text_hash", "source", "size", "n", "spans")))
+    keys = [("doc_id", f"{lead}doc_id"), (f"{lead}own_hash", f"{lead}text_hash"), ("source", f"{lead}source")]
+    texts = docs.withColumn(f"{lead}own_hash", F.xxhash64("text")).dropDuplicates(["doc_id", f"{lead}own_hash", "source"])
     same = F.lit(True)
     for left, right in keys:
         same = same & F.col(left).eqNullSafe(F.col(right))
-    both = texts.join(pieces, same).withColumn("text", F.when(F.col("piece_n") == F.col("piece_size"), F.col("text")).otherwise(_cut("text", F.col("piece_spans"))))
+    both = texts.join(pieces, same).withColumn("text", F.when(F.col(f"{lead}n") == F.col(f"{lead}size"), F.col("text")).otherwise(_cut("text", F.col(f"{lead}spans"))))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return both.select(docs.columns)

@@ -349,3 +349,15 @@ def test_block_permutations():
         for epoch in range(3):
             assert sorted(out[epoch * n: epoch * n + n]) == list(range(n))
     assert not np.array_equal(out[:1000], out[1000:2000])
+
+
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * (20 + i), "ab"[i % 2], f"t{i}", f"n{i}", f"s{i}", f"r{i}") for i in range(12)],
+                                 "doc_id long, text string, source string, text_hash string, piece_n string, Piece__spans string, size string")
+    own = {r["doc_id"]: r for r in docs.collect()}
+    made = mixing.mixed_documents(docs)
+    rows = made.collect()
+    assert made.columns == docs.columns and rows
+    for r in rows:
+        assert [r[c] for c in docs.columns if c != "text"] == [own[r["doc_id"]][c] for c in docs.columns if c != "text"]
+        assert set(r["text"].split()) == {f"word{r['doc_id']}"}
