@@ -1,20 +1,22 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-The model is fitted on a bounded, hash-chosen sample of ``EXAMPLES`` labelled rows. Features are the words of a text and
-the beginnings of longer words. A vocabulary of bounded size holds the features that best tell the labels of the sample
-apart; document frequencies are counted over all documents. The sample's texts become unit TF-IDF vectors, equal vectors
-are one example with its counts of labels, and all are indexed: postings by feature, in blocks of ``BLOCK`` examples with the largest weight of each block. A query
-adds the block maxima into bounds, visits blocks from the highest bound, and stops when no block can reach its k-th best
-cosine, so its neighbours are exact. Their votes, weighted by cosine and shrunk towards the rate of training rows, give the
-score; the neighbours are the evidence. Texts without a known feature get the rate of such training rows.
-
-Null and empty texts have no feature. Ties in cosine go to the earlier example (examples are ordered by their features).
+The model is fitted on a bounded, hash-chosen sample of ``EXAMPLES`` labelled rows. Every word of their texts is a feature,
+however rare; document frequencies are counted over all documents, and a word weighs (1 + log count) * idf * (1 + chi-square
+of its presence against the label in the sample). The texts become unit vectors, equal vectors are one example with its
+counts of labels, and all are indexed: postings by word, in blocks of ``BLOCK`` examples, with the largest weight of each
+block. A query adds the block maxima into bounds, scores the blocks of highest bound, and then every other block whose bound
+reaches the k-th best cosine found, so its neighbours are exact. Their votes, weighted by squared cosine and shrunk
+towards the rate of training rows, give the score; the neighbours are the evidence. Only texts without any word of an
+example have no neighbours; they get the rate of training rows without words.
+
+Null and empty texts have no word. Ties in cosine go to the earlier example (examples are ordered by their heaviest words).
 Labels with a null id or class, and null texts, are not learned from; repeated rows are counted as often as they stand. Without
 training rows every score is 0. Further columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -26,17 +28,14 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from faultline.llm import lexing
 from faultline.session import settle
 
-#: Documented bounds of the model; everything else covers all rows.
-VOCABULARY = 1024
-EXAMPLES = 20_000
+#: Documented bound of the model, in labelled rows; everything else covers all rows.
+EXAMPLES = 4096
 NEIGHBOURS = 15
 BLOCK = 64
-PREFIXES = (4, 5, 6)
+#: Blocks scored before the k-th cosine bounds the others.
+FIRST_BLOCKS = 4
 SHRINKAGE = 0.25
-MIN_DOCUMENTS = 4
-#: Least chi-square of a feature: among millions of features, hardly one passes by chance.
-MIN_CHI = 30.0
-
+CACHED = 4096
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -46,24 +45,19 @@ def words(text: str | None) -> Counter:
     return Counter(_WORDS.findall((text or "").lower()))
 
 
-def features(word: str) -> list[str]:
-    """A word and its beginnings ("word-")."""
-    return [word, *(word[:k] + "-" for k in PREFIXES if len(word) > k)]
-
-
 class Finder:
-    """The known features of texts, by number; those of each distinct word are looked up once."""
+    """The known words of texts, by number; each distinct word is looked up once."""
 
     def __init__(self, terms: dict[str, int]):
         self.terms = terms
         self.lexicon = lexing.Lexicon(self._numbers)
 
     def _numbers(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [[self.terms[t] for t in features(word) if t in self.terms] for word in names]
-        return np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found], np.int64)
+        found = np.array([self.terms.get(name, -1) for name in names], np.int64)
+        return found[found >= 0], (found >= 0).astype(np.int64)
 
     def counts(self, texts: list[str | None]):
-        """For each text its known features in ascending order, and how often each stands in it."""
+        """For each text its known words in ascending order, and how often each stands in it."""
         lowered = pa.array([(t or "").lower() for t in texts], pa.large_string())
         width = max(1, len(self.terms))
         for lo, hi, data, offsets in lexing.blocks(lowered):
@@ -79,11 +73,11 @@ class Finder:
 
 @dataclass
 class Model:
-    """Vocabulary with inverse document frequencies, and the index of examples."""
+    """Words with their factors (idf and chi-square), and the index of examples."""
 
     terms: dict[str, int]
-    idf: np.ndarray
-    vectors: list[tuple[np.ndarray, np.ndarray]]  # (features, weights) of each example
+    factor: np.ndarray
+    vectors: list[tuple[np.ndarray, np.ndarray]]  # (words, weights) of each example
     toxic: np.ndarray
     total: np.ndarray
     ids: np.ndarray  # the smallest document id of each example
@@ -93,52 +87,54 @@ class Model:
     def __post_init__(self):
         n, n_terms = len(self.vectors), len(self.terms)
         self.n_blocks = -(-n // BLOCK)
-        lengths = np.array([len(v[0]) for v in self.vectors], np.int64)
-        owner = np.repeat(np.arange(n), lengths)
-        self.term = np.concatenate([v[0] for v in self.vectors]) if n else np.zeros(0, np.int64)
-        self.weight = np.concatenate([v[1] for v in self.vectors]) if n else np.zeros(0)
-        self.row_at = np.concatenate([[0], np.cumsum(lengths)])
-        # the inverted index: by feature, the blocks that hold it and its largest weight there
-        cells, where = np.unique(self.term * max(self.n_blocks, 1) + owner // BLOCK, return_inverse=True)
-        most = np.zeros(len(cells))
-        np.maximum.at(most, where, self.weight)
-        self.block_of, self.block_most = cells % max(self.n_blocks, 1), most
-        self.block_at = np.searchsorted(cells // max(self.n_blocks, 1), np.arange(n_terms + 1))
-        self.finder, self.cache = Finder(self.terms), {}
+        owner = np.repeat(np.arange(n), np.array([len(v[0]) for v in self.vectors], np.int64))
+        term = np.concatenate([v[0] for v in self.vectors]) if n else np.zeros(0, np.int64)
+        weight = np.concatenate([v[1] for v in self.vectors]) if n else np.zeros(0)
+        # the inverted index: cells (word, block) in order, with their postings and the largest weight of each
+        order = np.lexsort((owner, term))
+        self.example, self.weight = owner[order], weight[order]
+        cells, first = np.unique(term[order] * max(self.n_blocks, 1) + self.example // BLOCK, return_index=True)
+        self.cell_at = np.append(first, len(order))
+        self.block_of = cells % max(self.n_blocks, 1)
+        self.block_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.word_at = np.searchsorted(cells // max(self.n_blocks, 1), np.arange(n_terms + 1))
+        self.vectors, self.finder, self.cache = [], Finder(self.terms), {}
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Features and their unit weights (1 + log count) * idf."""
-        weights = (1 + np.log(counts)) * self.idf[terms]
+        """Words and their unit weights (1 + log count) * factor."""
+        weights = (1 + np.log(counts)) * self.factor[terms]
         norm = np.sqrt((weights ** 2).sum())
         return terms, weights / norm if norm > 0 else weights
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of largest cosine above 0, exactly; ties by example number."""
-        bounds = np.zeros(self.n_blocks)
-        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-            lo, hi = self.block_at[t], self.block_at[t + 1]
-            bounds[self.block_of[lo:hi]] += w * self.block_most[lo:hi]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        query = np.zeros(len(self.terms))
-        query[terms] = weights
-        found, cosines, step, at = np.zeros(0, np.int64), np.zeros(0), 4, 0
-        while at < len(order):
-            # a bound equal to the k-th cosine may still hold an earlier example
-            if len(found) >= k and bounds[order[at]] < cosines[k - 1] - 1e-9:
-                break
-            chosen = order[at: at + step]
-            numbers = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            numbers = numbers[numbers < len(self.vectors)]
-            lengths = self.row_at[numbers + 1] - self.row_at[numbers]
-            where = lexing.ragged(self.row_at[numbers], lengths)
-            scores = np.add.reduceat(query[self.term[where]] * self.weight[where], np.cumsum(lengths) - lengths)
-            hit = scores > 0
-            found, cosines = np.concatenate([found, numbers[hit]]), np.concatenate([cosines, np.minimum(scores[hit], 1.0)])
-            best = np.lexsort((found, -np.round(cosines, 12)))[:k]
-            found, cosines = found[best], cosines[best]
-            at, step = at + step, step * 2
-        return found[:k], cosines[:k]
+        lengths = self.word_at[terms + 1] - self.word_at[terms]
+        cells, heavy = lexing.ragged(self.word_at[terms], lengths), np.repeat(weights, lengths)
+        blocks = self.block_of[cells]
+        bounds = np.bincount(blocks, heavy * self.block_most[cells], self.n_blocks)
+        n_examples = self.n_blocks * BLOCK
+
+        def score(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            own = chosen[blocks]
+            at, size = self.cell_at[cells[own]], self.cell_at[cells[own] + 1] - self.cell_at[cells[own]]
+            where = lexing.ragged(at, size)
+            total = np.bincount(self.example[where], self.weight[where] * np.repeat(heavy[own], size), n_examples)
+            hit = np.flatnonzero(total > 0)
+            return hit, np.minimum(total[hit], 1.0)
+
+        def best(found: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            order = np.lexsort((found, -np.round(cosines, 12)))[:k]
+            return found[order], cosines[order]
+
+        chosen = np.zeros(self.n_blocks, bool)
+        chosen[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
+        found, cosines = best(*score(chosen))
+        # a bound equal to the k-th cosine may still hold an earlier example
+        rest = ~chosen & (bounds > 0) & (bounds >= (cosines[k - 1] - 1e-9 if len(found) >= k else 0.0))
+        if rest.any():
+            more = score(rest)
+            found, cosines = best(np.append(found, more[0]), np.append(cosines, more[1]))
+        return found, cosines
 
     def scores(self, texts: list[str | None]):
         """For each text its score and the evidence: the neighbours with cosine and labels."""
@@ -146,7 +142,7 @@ class Model:
             if not len(terms):
                 yield self.empty_rate, []
                 continue
-            key = (terms.tobytes(), counts.tobytes())
+            key = hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest()
             known = self.cache.get(key)
             if known is None:
                 found, cosines = self.nearest(*self.unit(terms, counts))
@@ -154,13 +150,13 @@ class Model:
                 share = (self.toxic[found] + SHRINKAGE * self.rate) / (self.total[found] + SHRINKAGE)
                 score = float(((vote * share).sum() + SHRINKAGE * self.rate) / (vote.sum() + SHRINKAGE))
                 known = (score, [{"doc_id": int(self.ids[i]), "cosine": float(c), "toxic": int(self.toxic[i]), "rows": int(self.total[i])} for i, c in zip(found, cosines, strict=True)])
-                if len(self.cache) < 20_000:
+                if len(self.cache) < CACHED:
                     self.cache[key] = known
             yield known
 
 
 def _class_counts(labelled: DataFrame) -> DataFrame:
-    """Documents and toxic documents of each feature; tasks add up runs of their rows first."""
+    """Documents and toxic documents of each word; tasks add up runs of their rows first."""
 
     def run(batches):
         n, toxic = Counter(), Counter()
@@ -174,7 +170,7 @@ def _class_counts(labelled: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-                names = {t for word in words(text.as_py()) for t in features(word)}
+                names = words(text.as_py()).keys()
                 n.update(names)
                 if label:
                     toxic.update(names)
@@ -186,18 +182,19 @@ def _class_counts(labelled: DataFrame) -> DataFrame:
 
 
 def _frequencies(docs: DataFrame, terms: dict[str, int]) -> np.ndarray:
-    """Over all documents, how many hold each known feature; a task sends one row per feature."""
+    """Over all documents, how many hold each known word; a task sends one row per word it met."""
 
     def run(batches):
         finder, total = Finder(terms), np.zeros(len(terms), np.int64)
         for batch in batches:
             for terms_, _ in finder.counts(batch.column("text").to_pylist()):
                 total[terms_] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms))), pa.array(total)], names=["term", "n"])
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["term", "n"])
 
     out = np.zeros(len(terms), np.int64)
-    for row in docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[row["term"]] = row["n"]
+    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[found["term"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
@@ -211,51 +208,52 @@ def sample(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, seed: i
     return docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, examples: int = EXAMPLES, seed: int = 11) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, seed: int = 11) -> Model:
     """Learn from ``labels`` (doc_id, toxic) of ``docs``; document frequencies come from all of ``docs``.
 
-    Of the chosen features and examples a bounded number comes to the driver: ``vocabulary`` and ``examples``.
+    The words and vectors of the ``examples`` chosen rows come to the driver.
     """
     labelled = settle(sample(docs, labels, examples, seed), "labelled", compression="zstd")
     sizes = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     n, toxic = int(sizes["n"]), int(sizes["toxic"])
+    none = np.zeros(0, np.int64)
     if not n:
-        return Model({}, np.zeros(0), [], np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 0.0, 0.0)
+        return Model({}, np.zeros(0), [], none, none, none, 0.0, 0.0)
+    met = _class_counts(labelled).orderBy("term").toArrow()
+    terms = {t: i for i, t in enumerate(met["term"].to_pylist())}
     # chi-square of presence against the label, from the four counts
-    a, b = F.col("toxic").cast("double"), (F.col("n") - F.col("toxic")).cast("double")
-    c, d = F.lit(float(toxic)) - a, F.lit(float(n - toxic)) - b
-    low = (a + b) * (c + d) * (a + c) * (b + d)
-    chi = F.when(low > 0, n * (a * d - b * c) ** 2 / low).otherwise(0.0)
-    chosen = (_class_counts(labelled).filter(F.col("n") >= MIN_DOCUMENTS).withColumn("chi", F.round(chi, 6)).filter(F.col("chi") > MIN_CHI)
-              .orderBy(F.desc("chi"), "term").limit(vocabulary).select("term").collect())
-    terms = {r["term"]: i for i, r in enumerate(sorted(chosen, key=lambda r: r["term"]))}
-    n_docs = docs.count()
-    idf = np.log((1 + n_docs) / (1 + _frequencies(docs, terms))) + 1 if terms else np.zeros(0)
-    model = Model(terms, idf, [], np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 0.0, toxic / n)
+    a, both = met["toxic"].to_numpy().astype(float), met["n"].to_numpy().astype(float)
+    b, c, d = both - a, toxic - a, (n - toxic) - (both - a)
+    low = both * (n - both) * (a + c) * (b + d)
+    chi = np.where(low > 0, n * (a * d - b * c) ** 2 / np.where(low > 0, low, 1.0), 0.0)
+    idf = np.log((1 + docs.count()) / (1 + _frequencies(docs, terms))) + 1
+    model = Model(terms, idf * (1 + chi), [], none, none, none, 0.0, toxic / n)
 
     def vectors(batches):
         for batch in batches:
             found = [model.unit(*x) for x in model.finder.counts(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array([x[0].tolist() for x in found], pa.list_(pa.int64())), pa.array([x[1].tolist() for x in found], pa.list_(pa.float64()))],
+                [batch.column("doc_id"), batch.column("toxic"), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.float64()))],
                 names=["doc_id", "toxic", "terms", "weights"])
 
     source = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("toxic"), "text")
     groups = settle(source.mapInArrow(vectors, "doc_id long, toxic long, terms array<long>, weights array<double>")
                     .groupBy("terms", "weights").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"), F.min("doc_id").alias("doc_id")), "examples")
-    none = groups.filter(F.size("terms") == 0).agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).first()
-    empty = (float(none["toxic"] or 0) + 0.5 * toxic / n) / (float(none["n"] or 0) + 0.5)
-    rows = groups.filter(F.size("terms") > 0).collect()
-    rows.sort(key=lambda r: (r["terms"], r["weights"]))  # like examples share blocks, so that block maxima are tight
-    return Model(terms, idf, [(np.array(r["terms"], np.int64), np.array(r["weights"])) for r in rows], np.array([r["toxic"] for r in rows], float),
-                 np.array([r["n"] for r in rows], float), np.array([r["doc_id"] for r in rows], np.int64), empty, toxic / n)
+    empty = groups.filter(F.size("terms") == 0).agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).first()
+    empty_rate = (float(empty["toxic"] or 0) + 0.5 * toxic / n) / (float(empty["n"] or 0) + 0.5)
+    rows = groups.filter(F.size("terms") > 0).toArrow()
+    vectors_ = [(t.values.to_numpy(), w.values.to_numpy()) for t, w in zip(rows["terms"], rows["weights"], strict=True)]
+    # like examples share blocks, so that block maxima are tight
+    order = sorted(range(len(vectors_)), key=lambda i: (vectors_[i][0][np.argsort(-vectors_[i][1], kind="stable")[:4]].tolist(), rows["doc_id"][i].as_py()))
+    toxic_, total, ids = (rows[c].to_numpy()[order] for c in ("toxic", "n", "doc_id"))
+    return Model(terms, model.factor, [vectors_[i] for i in order], toxic_, total, ids, empty_rate, toxic / n)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``score`` and ``evidence`` of each text."""
     kind = docs.schema[id_col].dataType
     source = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary and the number of examples
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the words of the examples
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int64()), ("rows", pa.int64())]))
 
     def run(batches):

@@ -255,6 +255,63 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def _plain_toxicity(texts, labels):
+    """Scores of ``texts`` by comparing each with all labelled ones: every word counts, nothing is indexed."""
+    counted = {i: collections.Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for i, t in texts}
+    known = [(i, label) for i, label in labels if i in counted]
+    n, toxic = len(known), sum(label for _, label in known)
+    holds, marks, everywhere = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, label in known:
+        holds.update(counted[i].keys())
+        marks.update(counted[i].keys() if label else ())
+    for words in counted.values():
+        everywhere.update(words.keys())
+    factor = {}
+    for word, both in holds.items():
+        a, b = marks[word], both - marks[word]
+        c, d = toxic - a, n - toxic - b
+        low = both * (n - both) * (a + c) * (b + d)
+        factor[word] = (math.log((1 + len(texts)) / (1 + everywhere[word])) + 1) * (1 + (n * (a * d - b * c) ** 2 / low if low else 0))
+
+    def unit(words):
+        weights = {w: (1 + math.log(k)) * factor[w] for w, k in words.items() if w in factor}
+        norm = math.sqrt(sum(x * x for x in weights.values()))
+        return {w: x / norm for w, x in weights.items()}
+
+    groups, rate = {}, toxic / n
+    for i, label in known:
+        key = frozenset(counted[i].items())
+        mine = groups.setdefault(key, [unit(counted[i]), 0, 0])
+        mine[1] += label
+        mine[2] += 1
+    nothing = groups.pop(frozenset(), (None, 0, 0))
+    out = {}
+    for i, _ in texts:
+        query = unit(counted[i])
+        if not query:
+            out[i] = ((nothing[1] + 0.5 * rate) / (nothing[2] + 0.5), 0)
+            continue
+        cosines = sorted(((sum(x * v.get(w, 0.0) for w, x in query.items()), t, m) for v, t, m in groups.values()), reverse=True)
+        near = [x for x in cosines[: toxicity.NEIGHBOURS] if x[0] > 0]
+        votes = sum(c * c * (t + toxicity.SHRINKAGE * rate) / (m + toxicity.SHRINKAGE) for c, t, m in near)
+        out[i] = ((votes + toxicity.SHRINKAGE * rate) / (sum(c * c for c, _, _ in near) + toxicity.SHRINKAGE), len(near))
+    return out
+
+
+def test_toxicity_equals_a_plain_search(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    known = spark.read.parquet(f"{SF}/labels.parquet").filter("doc_id % 5 <> 0").select("doc_id", "toxic")
+    extra = spark.createDataFrame([(90_001, None), (90_002, ""), (90_003, "12 ... 34"), (90_004, "zzqx zzqy")], "doc_id long, text string")
+    docs = docs.unionByName(extra).unionByName(docs.limit(1).withColumn("doc_id", F.lit(90_005).cast("long")))
+    labels = [(i, t) for i, t in known.collect() if i is not None and t is not None]
+    expected = _plain_toxicity([tuple(r) for r in docs.collect()], labels)
+    rows = toxicity.score(docs, toxicity.fit(docs, known)).collect()
+    for r in rows:
+        score, n = expected[r["doc_id"]]
+        assert r["score"] == pytest.approx(score, abs=1e-9) and len(r["evidence"]) == n, r["doc_id"]
+    assert len(rows) == docs.count() and sum(bool(r["evidence"]) for r in rows) > 0.9 * len(rows)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held_out = language.remainder("doc_id", 4) == 2
