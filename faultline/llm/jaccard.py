@@ -12,7 +12,8 @@ no more weak ones than spares leaves them out without losing a pair; a set with
 
 Equal sets are one node, named by a 64-bit hash of the set, from the start. Of each group with a common segment, every
 node is first compared with one pivot, so a group of copies costs links in proportion to its members. Groups that hang
-together but fall into several components are then searched whole: their nodes' sketches are compared in blocks inside
+together but fall into several components are then searched: they are cut into the groups that common rare shingles hold
+together (similar sets share one of the rarest shingles of both), the sketches of their nodes are compared in blocks inside
 tasks, across components only, and pairs whose Hamming distance allows the similarity are verified. Within a task groups are
 cut down before the shuffle; a common segment of a third of all documents sends one row per task.
 
@@ -39,6 +40,8 @@ SHINGLE = 4
 PERCENT = 85
 RUN_KEYS = 1 << 20
 BLOCK_BYTES = 1 << 16
+#: Shingles are told common or rare by counts in so many buckets; any order of shingles gives the same links.
+BUCKETS = 1 << 20
 _BITS = 4096
 _ALL = (1 << 64) - 1
 _KEYS = "key long, node long, pivot long"
@@ -191,6 +194,12 @@ def candidates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) ->
         if held:
             yield flush()
 
+    return _pivot_pairs(docs.select("text"), emit)
+
+
+def _pivot_pairs(rows: DataFrame, emit) -> DataFrame:
+    """``a`` and ``b``: of the groups with a common key that ``emit`` makes of ``rows``, each node ``b`` with the pivot ``a``."""
+
     def pair(batches):
         last_key, last_pivot = None, None
         for batch in batches:
@@ -214,7 +223,7 @@ def candidates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) ->
 
     # first nodes are dealt by key, the others by node too, so that no key gathers more than a row per run
     deal = F.when(F.col("pivot").isNull(), F.col("key")).otherwise(F.xxhash64("key", "node"))
-    dealt = docs.select("text").mapInArrow(emit, _KEYS).repartition(deal).sortWithinPartitions("key", "node")
+    dealt = rows.mapInArrow(emit, _KEYS).repartition(deal).sortWithinPartitions("key", "node")
     return dealt.mapInArrow(pair, _CANDIDATES)
 
 
@@ -275,14 +284,92 @@ def _sketch(shingles: np.ndarray, bits: int) -> bytes:
     return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _across(found: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components of ``roots`` within the groups that the pairs of ``found`` hold together, as far as
-    their sketches allow the similarity. Sketches have four bits or more a shingle of the group's largest set."""
+def _of_several_roots(members: DataFrame) -> DataFrame:
+    """The rows of ``members`` whose part holds more than one component."""
+    several = members.groupBy("part").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+    return members.join(settle(several.select("part"), "several"), "part")
+
+
+def _bucket_counts(sets: DataFrame) -> np.ndarray:
+    """How often shingles of ``sets`` fall into each of ``BUCKETS`` buckets by hash: a table of fixed size."""
+
+    def run(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            held = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
+            total += np.bincount(_bucket(held), minlength=BUCKETS)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["bucket", "n"])
+
+    out = np.zeros(BUCKETS, np.int64)
+    found = sets.select("shingles").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def rarest(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of rarest buckets of a set, so many that every similar set holds one of them, among its own rarest."""
+    needed = -(-percent * len(shingles) // 100)
+    return shingles[np.lexsort((shingles, counts[_bucket(shingles)]))[: len(shingles) - needed + 1]]
+
+
+def _finer_parts(members: DataFrame, percent: int) -> DataFrame:
+    """``node`` and ``part``: the groups of ``members`` that common rare shingles hold together. Nodes without such a partner are left out."""
+    spark = members.sparkSession
+    with _small_batches(spark, 1000):
+        shared = spark.sparkContext.broadcast(_bucket_counts(members))
+
+    def emit(batches):
+        held, n = [], 0
+
+        def flush():
+            out = _task_groups(np.concatenate([x[0] for x in held]), np.concatenate([np.full(len(k), node) for k, node in held]))
+            held.clear()
+            return out
+
+        for batch in batches:
+            for part, node, raw in zip(batch.column("part").to_numpy(), batch.column("node").to_pylist(), batch.column("shingles"), strict=True):
+                rare = rarest(np.frombuffer(raw.as_py(), np.uint64), shared.value, percent)
+                held.append((lexing.mix(rare ^ lexing.mix(np.array([part]).astype(np.uint64))), node))
+                n += len(rare)
+                if n >= RUN_KEYS:
+                    yield flush()
+                    n = 0
+        if held:
+            yield flush()
+
+    pairs = _pivot_pairs(members.select("part", "node", "shingles"), emit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    with _small_batches(spark, 1000):
+        pairs = settle(pairs.distinct(), "rare-pairs")
+    return components(pairs).select("node", F.col("root").alias("part"))
+
+
+def open_groups(found: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Nodes that may have links beyond their component: ``part``, ``node``, ``root``, ``size``, ``shingles``.
+
+    The pairs of ``found`` hold groups together. Those of several components are cut again by their rarest shingles, as a passage
+    that many sets share makes groups of them, but is not among the rarest of sets that hold enough else.
+    """
     groups = components(found.select("a", "b")).select("node", F.col("root").alias("part"))
     rooted = settle(groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
-    several = rooted.groupBy("part").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).filter("n > 2 AND least <> most")
-    open_members = rooted.join(settle(several.select("part", "n"), "several"), "part").join(sets, "node").withColumn("size", F.length("shingles") / 8)
-    open_members = settle(open_members.select("part", "node", "root", "size", "shingles"), "open-members")
+    with_sets = _of_several_roots(rooted).join(sets, "node").withColumn("size", F.length("shingles") / 8)
+    wide = settle(with_sets.select("part", "node", "root", "size", "shingles"), "wide-groups")
+    if wide.isEmpty():
+        return wide
+    finer = settle(_finer_parts(wide, percent), "finer-parts")
+    return settle(_of_several_roots(wide.drop("part").join(finer, "node")).select("part", "node", "root", "size", "shingles"), "open-members")
+
+
+def _across(found: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components of ``roots`` within the open groups, as far as their sketches allow the similarity.
+    Sketches have four bits or more a shingle of the group's largest set."""
+    open_members = open_groups(found, roots, sets, percent)
+    if open_members.isEmpty():
+        return found.select("a", "b").limit(0)
     scale = open_members.groupBy("part").agg(F.count("*").alias("n"), F.max("size").alias("largest"))
     bits = F.least(F.greatest(F.pow(2.0, F.ceil(F.log2(4 * F.col("largest")))), F.lit(1024.0)), F.lit(65536.0)).cast("int")
     scale = settle(scale.select("part", bits.alias("bits"), F.ceil(F.col("n") * bits / (8 * BLOCK_BYTES)).alias("n_blocks")), "scale")

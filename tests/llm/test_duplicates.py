@@ -8,6 +8,7 @@ import pathlib
 import random
 import re
 import sys
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +104,48 @@ def test_one_row_of_each_component_stays(spark):
     assert jaccard.deduplicated(documents(spark, [])).count() == 0
 
 
+def test_a_shared_passage_makes_no_crowd(spark):
+    draw = random.Random(17)
+    shared = [f"s{i}" for i in range(104)]
+    rows = []
+    for i in range(20_000):
+        own = [f"w{draw.randrange(10**9)}" for _ in range(100)]
+        rows.append((i, " ".join(shared + own)))
+        if i % 1000 == 0:  # near copies among them, two words apart
+            own[50] = own[90] = f"x{i}"
+            rows.append((100_000 + i, " ".join(shared + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    docs.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/passage")
+    docs = spark.read.parquet(path)
+    compared = []
+
+    def counted(*args):
+        groups = plain(*args)
+        sizes = [r["n"] for r in groups.groupBy("part").count().withColumnRenamed("count", "n").collect()]
+        compared.append(sum(n * (n - 1) // 2 for n in sizes))
+        return groups
+
+    plain, jaccard.open_groups = jaccard.open_groups, counted
+    try:
+        result = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    finally:
+        jaccard.open_groups = plain
+    assert result == {i: i % 100_000 for i, _ in rows}
+    assert sum(compared) < 100 * len(rows)
+
+
+def test_rarest_shingles_of_similar_sets_meet():
+    draw = np.random.default_rng(23)
+    counts = draw.integers(0, 5, jaccard.BUCKETS)
+    for _ in range(2000):
+        n, percent = int(draw.integers(1, 60)), int(draw.choice([50, 80, 85, 100]))
+        a = np.unique(draw.integers(0, 1 << 62, n).astype(np.uint64))
+        keep = a[draw.random(len(a)) < draw.uniform(0.7, 1.0)]
+        b = np.unique(np.concatenate([keep, draw.integers(0, 1 << 62, int(draw.integers(0, 8))).astype(np.uint64)]))
+        if len(b) and jaccard.similar(a, b, percent):
+            assert set(jaccard.rarest(a, counts, percent).tolist()) & set(jaccard.rarest(b, counts, percent).tolist())
+
+
 @pytest.mark.parametrize("percent", [60, 85, 95])
 def test_segments_never_lose_a_pair(percent):
     draw = np.random.default_rng(percent)
