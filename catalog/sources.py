@@ -123,7 +123,7 @@ def site_log_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
        + " FROM events GROUP BY ts")
 def sensor_log_pivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("ts").alias("timestamp"), F.col("event_type").alias("sensor"), F.col("value").alias("gesamtwirkleistung"))
-    wide = site_log.unify_site_log(rows, True)
+    wide = site_log.pivot_sensors(rows, duplicates="max")  # the SQL keeps the largest of repeated (ts, event_type) entries
     return wide.toDF(*[c.replace(".", "_") for c in wide.columns])
 
 

@@ -28,15 +28,20 @@ def clean_site_log(df: DataFrame) -> DataFrame:
 
 
 def pivot_sensors(
-    df: DataFrame, sensor: str = "sensor", value: str = "gesamtwirkleistung", names: Sequence[str] | None = None
+    df: DataFrame, sensor: str = "sensor", value: str = "gesamtwirkleistung", names: Sequence[str] | None = None,
+    duplicates: str = "raise",
 ) -> DataFrame:
-    """S5 + S6 for sensor logs: one column '<sensor>.samples' per sensor; (time, sensor) must be unique."""
+    """S5 + S6 for sensor logs: one column '<sensor>.samples' per sensor; (time, sensor) must be unique, unless
+    ``duplicates="max"``, which keeps the largest value of repeated entries."""
+    if duplicates not in ("raise", "max"):
+        raise ValueError('duplicates must be "raise" or "max"')
     parsed = _parsed(df).drop(*DROPPED).withColumn("__name", F.concat(col(sensor).cast("string"), F.lit(".samples")))
     if names is None:
         names = sorted(r[0] for r in parsed.select("__name").distinct().collect())
-    twice = parsed.groupBy("global_timestamp", "__name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if not twice.isEmpty():
-        raise ValueError("sensor log holds duplicate (time, sensor) entries")
+    if duplicates == "raise":
+        twice = parsed.groupBy("global_timestamp", "__name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        if not twice.isEmpty():
+            raise ValueError("sensor log holds duplicate (time, sensor) entries")
     return parsed.groupBy("global_timestamp").pivot("__name", list(names)).agg(F.max(col(value)))
 
 

@@ -121,6 +121,14 @@ def test_duplicate_sensor_entries_raise(spark):
         site_log.pivot_sensors(df)
 
 
+def test_sensor_query_keeps_largest_of_repeated_entries(spark, tmp_path):
+    from catalog.sources import sensor_log_pivoted
+    rows = [(1, T0, 1, "click", 1.0, None), (2, T0, 2, "click", 3.0, None), (3, T0, 2, "view", 2.0, None), (4, T0 + dt.timedelta(seconds=1), 1, "view", None, None)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["global_timestamp"]: (r["click_samples"], r["view_samples"]) for r in sensor_log_pivoted(spark, str(tmp_path)).collect()}
+    assert got == {T0: (3.0, 2.0), T0 + dt.timedelta(seconds=1): (None, None)}
+
+
 def test_site_log_text_times(spark):
     df = spark.createDataFrame([("2024-01-01 10:00:00", "7", 1, None), ("2024-01-01 10:00:00", "7", 2, None)], "time string, errorcode string, main_id int, note string")
     rows = site_log.clean_site_log(df).collect()
