@@ -111,6 +111,14 @@ def parted(queries: DataFrame, points: DataFrame, k: int, vector: str = "x", see
     return sent, placed.drop("__away")
 
 
+def distinct_enough(points: DataFrame, k: int, id_col: str = "id", vector: str = "x") -> DataFrame:
+    """Of equal vectors only the ``k + 1`` with the smallest ids: the others are never among the ``k`` nearest other points of a
+    query, since ties go to smaller ids and a query passes over at most itself. Piles of copies thus neither crowd one pivot nor
+    are compared with each other; the limit is applied in every task before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(vector).orderBy(id_col))
+    return points.withColumn("__copy", rank).filter(F.col("__copy") <= k + 1).drop("__copy")
+
+
 def nearest(
     queries: DataFrame, points: DataFrame, k: int, id_col: str = "id", vector: str = "x", carry: Sequence[str] = (),
     seed: int = 0,
@@ -120,7 +128,7 @@ def nearest(
     Ties are ordered by point id. ``carry`` columns of the point come along.
     """
     asked = queries.select(id_col, vector)
-    sent, placed = parted(asked, points.select(*dict.fromkeys([id_col, vector, *carry])), k, vector, seed)
+    sent, placed = parted(asked, distinct_enough(points.select(*dict.fromkeys([id_col, vector, *carry])), k, id_col, vector), k, vector, seed)
     # blocks of points and turns of queries by pivot: a row a pivot
     sizes = (placed.groupBy("__part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
              .join(sent.groupBy("__part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("turns")), "__part"))

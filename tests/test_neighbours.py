@@ -57,3 +57,17 @@ def test_small_and_empty_tables(spark):
     df = frame(spark, np.arange(12.0).reshape(6, 2))
     assert neighbours.nearest(df, df, 10).groupBy("query_id").count().filter("count = 5").count() == 6
     assert neighbours.nearest(df, df.limit(0), 3).count() == 0 and neighbours.nearest(df.limit(0), df, 3).count() == 0
+
+
+def test_piles_of_copies_do_not_crowd_a_pivot(spark):
+    n, k = 20_000, 5
+    x = clustered(n, 8, 3)
+    x[: n // 2] = x[0]  # half the rows are one vector
+    df = frame(spark, x).repartition(8)
+    kept = neighbours.distinct_enough(df, k)
+    assert kept.count() == n // 2 + k + 1
+    _, placed = neighbours.parted(df, kept, k)
+    assert placed.groupBy("__part").count().agg(F.max("count")).first()[0] < 2_000
+    got = neighbours.nearest(df.filter("id IN (0, 3, 9999)"), df, k).orderBy("query_id", "place").collect()
+    pile = {q: [r["point_id"] for r in got if r["query_id"] == q] for q in (0, 3, 9999)}
+    assert pile == {q: [i for i in range(k + 1) if i != q][:k] for q in (0, 3, 9999)}
