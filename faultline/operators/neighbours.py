@@ -153,19 +153,36 @@ def nearest(
         right = right.sort_values(f"p_{id_col}")
         a, b = np.stack(left[f"q_{vector}"].to_numpy()), np.stack(right[f"p_{vector}"].to_numpy())
         ids = right[f"p_{id_col}"].to_numpy()
+        b_squares = (b * b).sum(axis=1)
         found = []
-        step = max(1, 4_000_000 // b.size)  # keeps the difference array small
+        step = max(1, 4_000_000 // len(b))  # keeps the distance matrix small
         for start in range(0, len(a), step):
             part = a[start:start + step]
-            dist = ((part[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
             own = left[f"q_{id_col}"].to_numpy()[start:start + step]
-            dist[own[:, None] == ids[None, :]] = np.inf
-            order = np.argsort(dist, axis=1, kind="stable")[:, :k]
-            rows, places = np.repeat(np.arange(len(part)), order.shape[1]), order.ravel()
+            other = own[:, None] != ids[None, :]
+            # rough squared distances by one product; every point that may be among the k nearest is then measured exactly
+            a_squares = (part * part).sum(axis=1)
+            with np.errstate(invalid="ignore", over="ignore"):
+                rough = a_squares[:, None] + b_squares[None, :] - 2.0 * (part @ b.T)
+            rough[~other] = np.inf
+            kth = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+            kth = np.where(np.isnan(kth), np.inf, kth)
+            slack = 1e-9 * (np.abs(a_squares) + np.abs(b_squares).max(initial=0.0))  # far above the rounding of the product
+            with np.errstate(invalid="ignore"):
+                rows, places = np.nonzero(((rough <= (kth + slack)[:, None]) | ~np.isfinite(rough)) & other)
+            dist = ((part[rows] - b[places]) ** 2).sum(axis=1)
+            # nearest first, ties to the smaller id (right is sorted by id); k a query
+            order = np.lexsort((places, dist, rows))
+            rows, places, dist = rows[order], places[order], dist[order]
+            finite = np.isfinite(dist)
+            rows, places, dist = rows[finite], places[finite], dist[finite]
+            first = np.searchsorted(rows, rows, side="left")
+            taken = np.arange(len(rows)) - first < k
+            rows, places, dist = rows[taken], places[taken], dist[taken]
             chunk = right.iloc[places].rename(columns={f"p_{id_col}": "point_id", **{f"p_{c}": c for c in carry}})[["point_id", *carry]]
             chunk.insert(0, "query_id", own[rows])
-            chunk.insert(2, "distance", np.sqrt(dist[rows, places]))
-            found.append(chunk[np.isfinite(chunk["distance"])])
+            chunk.insert(2, "distance", np.sqrt(dist))
+            found.append(chunk)
         return pd.concat(found)[schema.names]
 
     candidates = q.groupBy("q_part", "q_blocks", "q_turns").cogroup(p.groupBy("p_part", "p_blocks", "p_turns")).applyInPandas(best, schema)

@@ -71,3 +71,16 @@ def test_piles_of_copies_do_not_crowd_a_pivot(spark):
     got = neighbours.nearest(df.filter("id IN (0, 3, 9999)"), df, k).orderBy("query_id", "place").collect()
     pile = {q: [r["point_id"] for r in got if r["query_id"] == q] for q in (0, 3, 9999)}
     assert pile == {q: [i for i in range(k + 1) if i != q][:k] for q in (0, 3, 9999)}
+
+
+def test_wide_vectors_with_ties_equal_brute_force(spark, monkeypatch):
+    """64 dimensions, as the embeddings have: rough distances by a product, exact ones for the candidates, ties by id."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, size=(600, 64)).astype(float) * 1e3
+    x[:50] = x[0]
+    got = neighbours.nearest(frame(spark, x), frame(spark, x), 5).select("query_id", "point_id", "place").collect()
+    dist = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    np.fill_diagonal(dist, np.inf)
+    want = {(q, int(p), i + 1) for q in range(len(x)) for i, p in enumerate(np.lexsort((np.arange(len(x)), dist[q]))[:5])}
+    assert {(r["query_id"], r["point_id"], r["place"]) for r in got} == want
