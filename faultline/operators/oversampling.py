@@ -17,6 +17,7 @@ from faultline.functions.keys import uniform
 from faultline.operators.neighbours import nearest
 from faultline.operators.ranks import draw_rank
 from faultline.params import NEGATIVE_LABEL
+from faultline.session import settle
 
 METHODS = (
     "random", "smote", "smotenc", "borderline_smote", "adasyn", "kmeans_smote", "svm_smote", "smote_tomek", "smote_enn",
@@ -192,12 +193,12 @@ def edit_neighbours(train: DataFrame, k: int = 3, seed: int = 0) -> DataFrame:
 
 def smote_tomek(train: DataFrame, target: int, k: int = 5, seed: int = 0) -> DataFrame:
     """M7h."""
-    return _unnumber(drop_tomek_links(_numbered(smote(train, target, k, seed)), seed))
+    return _unnumber(drop_tomek_links(settle(_numbered(smote(train, target, k, seed)), "numbered"), seed))
 
 
 def smote_enn(train: DataFrame, target: int, k: int = 5, seed: int = 0) -> DataFrame:
     """M7i."""
-    return _unnumber(edit_neighbours(_numbered(smote(train, target, k, seed)), 3, seed))
+    return _unnumber(edit_neighbours(settle(_numbered(smote(train, target, k, seed)), "numbered"), 3, seed))
 
 
 def oversample(train: DataFrame, method: str, target: int, seed: int = 0, categorical: Sequence[int] = ()) -> DataFrame:

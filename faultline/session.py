@@ -82,18 +82,21 @@ def settle(df: DataFrame, label: str = "stage", **options: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def settled_tables() -> Iterator[None]:
+def settled_tables(keep_last: bool = False) -> Iterator[None]:
     """Within the block, ``settle`` keeps account of its tables; at the end they are removed.
 
-    For jobs whose result no longer depends on them (it was written, or collected, inside the block).
+    For jobs whose result no longer depends on them (it was written, or collected, inside the block). With ``keep_last`` the
+    last table, which is the result, stays if the block ends well; a block around this one removes it.
     """
     paths: list[tuple[SparkSession, str]] = []
     _settled.append(paths)
+    kept = 0
     try:
         yield
+        kept = int(keep_last)
     finally:
-        _settled.remove(paths)
-        for spark, path in paths:
+        _settled[:] = [held for held in _settled if held is not paths]
+        for spark, path in paths[: len(paths) - kept]:
             remove_table(spark, path)
 
 

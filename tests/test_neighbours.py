@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import pathlib
+import threading
+import time
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from faultline import session
 from faultline.operators import neighbours
 
 
@@ -84,3 +90,51 @@ def test_wide_vectors_with_ties_equal_brute_force(spark, monkeypatch):
     np.fill_diagonal(dist, np.inf)
     want = {(q, int(p), i + 1) for q in range(len(x)) for i, p in enumerate(np.lexsort((np.arange(len(x)), dist[q]))[:5])}
     assert {(r["query_id"], r["point_id"], r["place"]) for r in got} == want
+
+
+def local_bytes(spark):
+    """Bytes that Spark holds in its local folders: shuffle and spill files."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = (path for top in manager.localDirs() for path in pathlib.Path(top.getPath()).rglob("*") if path.is_file())
+    return sum(path.stat().st_size for path in files if path.exists())
+
+
+def test_disk_grows_with_rows_not_with_pairs(spark, monkeypatch, tmp_path):
+    """Even vectors of 64 dimensions, where pivots leave nearly all pairs: no query is written once a pivot."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(neighbours, "HELD_BLOCKS", 4, raising=False)
+    monkeypatch.setattr(neighbours, "ROUND", 3, raising=False)  # 30 blocks: several rounds
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    x = np.random.default_rng(5).standard_normal((1_500, 64))
+    df = session.settle(frame(spark, x), "given")
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
+    before, peak, done = local_bytes(spark), [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.2):
+            peak[0] = max(peak[0], local_bytes(spark))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    found = neighbours.nearest(df, df, 3)
+    got = {(r["query_id"], r["place"]): r["point_id"] for r in found.collect()}
+    done.set()
+    watcher.join()
+    assert max(peak[0], local_bytes(spark)) - before < 6 * x.nbytes  # 19 times, if queries are written once a pivot
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["given", "nearest"]
+    for q in range(0, len(x), 50):
+        d = ((x[q] - x) ** 2).sum(axis=1)
+        d[q] = np.inf
+        assert [got[q, i + 1] for i in range(3)] == np.argsort(d)[:3].tolist()
+
+
+def test_equal_and_missing_ids():
+    """All places with the id of a row are its own; a null equals nothing."""
+    rows, places = neighbours._equal_ids(pa.array([7, None, 3, 9]), pa.array([3, 3, 5, 7, None]))
+    assert list(zip(rows.tolist(), places.tolist())) == [(0, 3), (2, 0), (2, 1)]
+
+
+def test_blocks_are_bounded():
+    layout = neighbours.cut([4, 1, 0, 2], {0: 5_000, 1: 900, 2: 3, 4: 1_000})
+    assert layout == [(4, 0, 0, 1), (1, 0, 0, 1), (0, 1, 1, 3), (2, 2, 4, 1)]
