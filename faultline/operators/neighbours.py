@@ -43,6 +43,8 @@ def _blocks(rows: int) -> int:
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
+    if vectors.null_count or pc.count_distinct(pc.list_value_length(vectors)).as_py() > 1:
+        raise ValueError("vectors must be given, and all of one length")
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
     return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 1)
 

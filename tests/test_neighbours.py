@@ -138,3 +138,10 @@ def test_equal_and_missing_ids():
 def test_blocks_are_bounded():
     layout = neighbours.cut([4, 1, 0, 2], {0: 5_000, 1: 900, 2: 3, 4: 1_000})
     assert layout == [(4, 0, 0, 1), (1, 0, 0, 1), (0, 1, 1, 3), (2, 2, 4, 1)]
+
+
+def test_missing_and_uneven_vectors_are_refused():
+    assert neighbours._matrix(pa.array([[1.0, 2.0], [3.0, 4.0]])).shape == (2, 2) and neighbours._matrix(pa.array([], pa.list_(pa.float64()))).size == 0
+    for odd in ([[1.0, 2.0], None], [[1.0], [2.0, 3.0, 4.0]]):
+        with pytest.raises(ValueError, match="vectors"):
+            neighbours._matrix(pa.array(odd))
